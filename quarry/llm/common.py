@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -42,8 +43,13 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/quarry-{what}-{uuid.uuid4().hex[:12]}"
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        schema = df.schema
+        # shuffle files that only this plan needed go when the driver collects its garbage, which a quiet driver does late
+        del df
+        gc.collect()
+        self.spark._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from quarry.llm.common import Scratch, buckets
 LENGTH, GRAM = 50, 26
 WIDE = LENGTH - GRAM + 1
 #: Text bytes in a group of documents or behind a bucket of anchors; contexts in a shard; null ids.
-GROUP_BYTES, SHARD, LAST = 8 << 20, 1 << 14, (1 << 63) - 1
+GROUP_BYTES, SHARD, LAST = 4 << 20, 1 << 14, (1 << 63) - 1
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -293,6 +294,7 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         order = np.argsort(rid, kind="stable")
         rid, code = rid[order], code[order]
         out: list[tuple] = []
+        small = zstandard.ZstdCompressor(level=1)
         found: dict[bytes, list[int]] = {}
         for doc, text, r in zip(a.column("doc_id").to_pylist(), a.column("text").to_pylist(), a.column("rid").to_pylist()):
             raw = text.encode("utf-8", "surrogatepass")
@@ -314,14 +316,14 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
                     found[c] = [least_id, g]
                 elif least_id < held[0]:
                     held[0] = least_id
-            out.append((1, a.column("d")[0].as_py(), doc, len(raw), None, raw, lo.astype(np.int32).tobytes(), hi.astype(np.int32).tobytes(), at.astype(np.int32).tobytes()))
+            out.append((1, a.column("d")[0].as_py(), doc, len(raw), None, small.compress(raw), lo.astype(np.int32).tobytes(), hi.astype(np.int32).tobytes(), at.astype(np.int32).tobytes()))
         by: dict[int, list] = {}
         for c, (least_id, g) in found.items():
             x = by.setdefault(g, ([], [], []))
             x[0].append(c), x[1].append(least_id), x[2].append(len(c))
         d = a.column("d")[0].as_py() if a.num_rows else 0
         for g, (cs, ids, sizes) in by.items():
-            out.append((2, g, d, None, None, b"".join(cs), np.array(ids, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), None))
+            out.append((2, g, d, None, None, small.compress(b"".join(cs)), np.array(ids, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), None))
         cols = list(zip(*out)) or [()] * 9
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * 4
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "k", "id", "n", "sha", "x", "y", "z", "w"])
@@ -330,7 +332,7 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         found: dict[bytes, int] = {}
         sent = []
         for d, x, y, z in zip(*(t.column(c).to_pylist() for c in ("id", "x", "y", "z"))):
-            cs, at = [], 0
+            x, cs, at = zstandard.ZstdDecompressor().decompress(x), [], 0
             for n in np.frombuffer(z, np.int32).tolist():
                 cs.append(x[at : at + n])
                 at += n
@@ -350,6 +352,7 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         told = {keys[16 * i : 16 * i + 16]: (int(s), int(s + m)) for i, (s, m) in enumerate(zip(at, n))}
         out = []
         for doc, raw, x, y, z in zip(*(a.column(c).to_pylist() for c in ("id", "x", "y", "z", "w"))):
+            raw = zstandard.ZstdDecompressor().decompress(raw)
             lo, hi, p = (np.frombuffer(v, np.int32).tolist() for v in (x, y, z))
             own = LAST if doc is None else doc
             step = np.zeros(len(raw) + 1, np.int32)
@@ -373,7 +376,9 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *tail])
 
     posts = rows.select("rid", "text").mapInArrow(post, "b int, h binary, rid binary, n binary")
-    told = scratch.cut(posts.groupBy("b").applyInArrow(shared, "d int, rid binary, code binary"), "shared")
+    told = posts.groupBy("b").applyInArrow(shared, "d int, rid binary, code binary")
+    del posts
+    told = scratch.cut(told, "shared")
     schema = "kind int, k int, id long, n long, sha string, x binary, y binary, z binary, w binary"
     mid = scratch.cut(rows.groupBy("d").cogroup(told.groupBy("d")).applyInArrow(cut, schema), "contexts")
     scratch.drop("shared")
