@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zlib
 
@@ -44,12 +45,13 @@ class Scratch:
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
-        schema = df.schema
-        # shuffle files that only this plan needed go when the driver collects its garbage, which a quiet driver does late
-        del df
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def free(self) -> None:
+        """Lets go of the shuffle files of plans that are no longer held: they go with the driver's garbage, which a quiet driver collects late."""
         gc.collect()
         self.spark._jvm.System.gc()
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        time.sleep(0.3)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm

@@ -1,13 +1,13 @@
 """Exact substring dedup: bytes covered by a LENGTH-byte string that also starts in a document of smaller doc_id are removed.
 
-1. Anchors. Of the 25 hashed 26-grams in a window of 50 bytes, the least is its anchor (the first, if several are). Equal windows have
+1. Anchors. Of the 31 hashed 20-grams in a window of 50 bytes, the least is its anchor (the first, if several are). Equal windows have
    equal anchors at equal places, so a window can only repeat where its anchor does. Anchors' hashes are dealt to buckets and those that
    occur in two documents are told back to the documents, in groups of documents dealt by a hash.
 2. Contexts. The windows of one anchor are consecutive; the bytes they span are a context. Each group of documents sends its distinct
    contexts of repeated anchors, with the least doc_id of each. A passage that very many documents hold is sent once a group.
 3. Repeats. A bucket of anchors has every context of its anchors. An anchor with one distinct context is settled: all its windows first
    occur in that context's least document. The others' contexts become strings of bytes, in which the anchor itself is one symbol, so all
-   windows have WIDE = 25 symbols. They are sorted in shards; the shards' Burrows-Wheeler transforms are merged pairwise by refining the
+   windows have WIDE = 31 symbols. They are sorted in shards; the shards' Burrows-Wheeler transforms are merged pairwise by refining the
    interleave one symbol at a time, which tells after WIDE rounds which suffixes share WIDE symbols, without sorting them again. Each such
    interval's least doc_id is its windows' first document.
 4. Removal. Groups of documents get back, for each context they sent, the first document of each of its windows; what first occurs in a
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import Scratch, buckets
 
-LENGTH, GRAM = 50, 26
+LENGTH, GRAM = 50, 20
 WIDE = LENGTH - GRAM + 1
 #: Text bytes in a group of documents or behind a bucket of anchors; contexts in a shard; null ids.
-GROUP_BYTES, SHARD, LAST = 4 << 20, 1 << 14, (1 << 63) - 1
+GROUP_BYTES, BUCKET_BYTES, SHARD, LAST = 4 << 20, 32 << 20, 1 << 14, (1 << 63) - 1
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -254,7 +254,7 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     scratch = Scratch(spark, "suffix")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = many = buckets(spark, size, GROUP_BYTES)
+    groups, many = buckets(spark, size, GROUP_BYTES), buckets(spark, size, BUCKET_BYTES)
     rows = rows.withColumn("d", F.pmod(F.col("rid"), F.lit(groups)).cast("int"))
     tail = ["kept", "starts", "ends"] * with_kept
 
@@ -285,12 +285,18 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         ends = np.append(start[1:], len(h)) - 1
         twice = np.repeat(rid[start] != rid[ends], ends - start + 1)
         h, rid = h[twice], rid[twice]
-        out = list(_blobs(rid % groups, [rid, np.uint64(k << 32) | h.astype(np.uint64)]))
-        return pa.Table.from_batches([_batch(out, ["d", "rid", "code"])])
+        order = np.argsort(rid, kind="stable")
+        out = []
+        for d, hs, rs in _blobs(rid[order] % groups, [h[order], rid[order]]):
+            r = np.frombuffer(rs, np.int64)
+            edge = np.nonzero(np.concatenate([[True], r[1:] != r[:-1]]))[0]
+            out.append((d, hs, r[edge].tobytes(), np.diff(edge, append=len(r)).astype(np.uint32).tobytes(), k))
+        return pa.Table.from_batches([_batch([r[:4] for r in out], ["d", "h", "rid", "n"])]).append_column("b", pa.array([r[4] for r in out], pa.int64()))
 
     def cut(a: pa.Table, b: pa.Table) -> pa.Table:
         """Rows of three kinds: 0 a document that keeps everything; 1 one with repeated anchors; 2 contexts for a bucket."""
-        rid, code = _from(b, "rid", np.int64), _from(b, "code", np.uint64)
+        rid, h = np.repeat(_from(b, "rid", np.int64), _from(b, "n", np.uint32)), _from(b, "h", np.uint32)
+        code = np.repeat(np.array(b.column("b").to_pylist(), np.uint64), [len(x) // 4 for x in b.column("h").to_pylist()]) << np.uint64(32) | h.astype(np.uint64)
         order = np.argsort(rid, kind="stable")
         rid, code = rid[order], code[order]
         out: list[tuple] = []
@@ -316,14 +322,14 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
                     found[c] = [least_id, g]
                 elif least_id < held[0]:
                     held[0] = least_id
-            out.append((1, a.column("d")[0].as_py(), doc, len(raw), None, small.compress(raw), lo.astype(np.int32).tobytes(), hi.astype(np.int32).tobytes(), at.astype(np.int32).tobytes()))
+            out.append((1, a.column("d")[0].as_py(), doc, len(raw), None, small.compress(raw), small.compress(np.diff(lo, prepend=0).astype(np.int32).tobytes()), (hi - lo).astype(np.uint8).tobytes(), (at - lo).astype(np.uint8).tobytes()))
         by: dict[int, list] = {}
         for c, (least_id, g) in found.items():
             x = by.setdefault(g, ([], [], []))
             x[0].append(c), x[1].append(least_id), x[2].append(len(c))
         d = a.column("d")[0].as_py() if a.num_rows else 0
         for g, (cs, ids, sizes) in by.items():
-            out.append((2, g, d, None, None, small.compress(b"".join(cs)), np.array(ids, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), None))
+            out.append((2, g, d, None, None, small.compress(b"".join(cs)), small.compress(np.array(ids, np.int64).tobytes()), np.array(sizes, np.uint8).tobytes(), None))
         cols = list(zip(*out)) or [()] * 9
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * 4
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "k", "id", "n", "sha", "x", "y", "z", "w"])
@@ -333,38 +339,59 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         sent = []
         for d, x, y, z in zip(*(t.column(c).to_pylist() for c in ("id", "x", "y", "z"))):
             x, cs, at = zstandard.ZstdDecompressor().decompress(x), [], 0
-            for n in np.frombuffer(z, np.int32).tolist():
+            for n in np.frombuffer(z, np.uint8).tolist():
                 cs.append(x[at : at + n])
                 at += n
-            sent.append((d, cs))
-            for c, i in zip(cs, np.frombuffer(y, np.int64).tolist()):
+            ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(y), np.int64).tolist()
+            sent.append((d, cs, ids))
+            for c, i in zip(cs, ids):
                 if i < found.get(c, LAST + 1):
                     found[c] = i
         first = first_documents(found)
         out = []
-        for d, cs in sent:
-            out.append((d, b"".join(xxhash.xxh128_digest(c) for c in cs), b"".join(first[c].tobytes() for c in cs), np.array([len(first[c]) for c in cs], np.uint8).tobytes()))
+        for d, cs, ids in sent:
+            # what first occurs in the group itself, the group knows; the rest is told in runs of windows
+            key, value, count = [], [], []
+            for c, i in zip(cs, ids):
+                f = first[c]
+                if int(f.min()) < i:
+                    edge = np.append(np.nonzero(f[1:] != f[:-1])[0] + 1, len(f)) if len(f) > 1 else np.array([1])
+                    key.append(xxhash.xxh128_digest(c)), value.append(f[edge - 1]), count.append(np.concatenate([[len(edge)], edge]))
+            if key:
+                out.append((d, b"".join(key), np.concatenate(value).astype(np.int64).tobytes(), np.concatenate(count).astype(np.uint8).tobytes()))
         return pa.Table.from_batches([_batch(out, ["d", "key", "first", "n"])])
 
     def remove(a: pa.Table, b: pa.Table) -> pa.Table:
-        keys, first, n = b"".join(b.column("key").to_pylist()), _from(b, "first", np.int64), _from(b, "n", np.uint8).astype(np.int64)
-        at = np.cumsum(n) - n
-        told = {keys[16 * i : 16 * i + 16]: (int(s), int(s + m)) for i, (s, m) in enumerate(zip(at, n))}
-        out = []
+        told: dict[bytes, tuple[list[int], list[int]]] = {}
+        for key, first, n in zip(*(b.column(c).to_pylist() for c in ("key", "first", "n"))):
+            first, n, v, u = np.frombuffer(first, np.int64).tolist(), np.frombuffer(n, np.uint8).tolist(), 0, 0
+            for i in range(0, len(key), 16):
+                told[key[i : i + 16]] = first[v : v + n[u]], n[u + 1 : u + 1 + n[u]]
+                v, u = v + n[u], u + 1 + n[u]
+        rows, least = [], {}
         for doc, raw, x, y, z in zip(*(a.column(c).to_pylist() for c in ("id", "x", "y", "z", "w"))):
-            raw = zstandard.ZstdDecompressor().decompress(raw)
-            lo, hi, p = (np.frombuffer(v, np.int32).tolist() for v in (x, y, z))
-            own = LAST if doc is None else doc
+            raw, x = (zstandard.ZstdDecompressor().decompress(v) for v in (raw, x))
+            lo, own = np.cumsum(np.frombuffer(x, np.int32)).tolist(), LAST if doc is None else doc
+            keys = [xxhash.xxh128_digest(bytes((q,)) + raw[s : s + e + LENGTH]) for s, e, q in zip(lo, y, z)]
+            rows.append((doc, own, raw, lo, y, keys))
+            for k in keys:
+                if own < least.get(k, LAST + 1):
+                    least[k] = own
+        out = []
+        for doc, own, raw, lo, y, keys in rows:
             step = np.zeros(len(raw) + 1, np.int32)
-            for s, e, q in zip(lo, hi, p):
-                u, v = told[xxhash.xxh128_digest(bytes((q - s,)) + raw[s : e + LENGTH])]
-                gone = np.nonzero(first[u:v] < own)[0]
-                if len(gone) == v - u:
-                    step[s] += 1
-                    step[e + LENGTH] -= 1
-                elif len(gone):
-                    np.add.at(step, s + gone, 1)
-                    np.add.at(step, s + gone + LENGTH, -1)
+            for s, e, k in zip(lo, y, keys):
+                if (known := told.get(k)) is None:
+                    if least[k] < own:
+                        step[s] += 1
+                        step[s + e + LENGTH] -= 1
+                    continue
+                at = s
+                for m, end in zip(*known):
+                    if m < own:
+                        step[at] += 1
+                        step[s + end - 1 + LENGTH] -= 1
+                    at = s + end
             over = np.cumsum(step[:-1]) > 0
             edge = np.diff(over.astype(np.int8), prepend=0, append=0)
             kept = np.frombuffer(raw, np.uint8)[~over].tobytes()
@@ -376,12 +403,14 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *tail])
 
     posts = rows.select("rid", "text").mapInArrow(post, "b int, h binary, rid binary, n binary")
-    told = posts.groupBy("b").applyInArrow(shared, "d int, rid binary, code binary")
+    told = scratch.cut(posts.groupBy("b").applyInArrow(shared, "d int, h binary, rid binary, n binary, b long"), "shared")
     del posts
-    told = scratch.cut(told, "shared")
+    scratch.free()
     schema = "kind int, k int, id long, n long, sha string, x binary, y binary, z binary, w binary"
     mid = scratch.cut(rows.groupBy("d").cogroup(told.groupBy("d")).applyInArrow(cut, schema), "contexts")
+    del told
     scratch.drop("shared")
+    scratch.free()
     first = mid.filter("kind = 2").groupBy("k").applyInArrow(settle, "d int, key binary, first binary, n binary")
     ends = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, starts array<long>, ends array<long>" * with_kept
     some = mid.filter("kind = 1").groupBy("k").cogroup(first.groupBy("d")).applyInArrow(remove, ends)
