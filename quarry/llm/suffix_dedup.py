@@ -36,7 +36,7 @@ from quarry.llm.common import Scratch, buckets
 LENGTH, GRAM = 50, 20
 WIDE = LENGTH - GRAM + 1
 #: Text bytes in a group of documents or behind a bucket of anchors; contexts in a shard; null ids.
-GROUP_BYTES, BUCKET_BYTES, SHARD, LAST = 4 << 20, 32 << 20, 1 << 14, (1 << 63) - 1
+GROUP_BYTES, BUCKET_BYTES, SHARD, LAST = 4 << 20, 32 << 20, 1 << 12, (1 << 63) - 1
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -118,7 +118,7 @@ class Transform:
             behind = np.zeros(n, np.int64)
             behind[: n - step] = rank[step:] + 1
             key = rank * (rank.max() + 2 + n) + behind
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # equal keys get equal ranks, so their order is free
             fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
             rank = np.empty(n, np.int64)
             rank[order] = fresh
@@ -129,11 +129,11 @@ class Transform:
         return cls(before[order].astype(np.uint16), order + begin, len(ends))
 
 
-def merge(a: Transform, b: Transform, rounds: int) -> tuple[Transform, np.ndarray]:
+def merge(a: Transform, b: Transform, rounds: int, final: bool = False) -> tuple[Transform, np.ndarray]:
     """The transform of both collections, and for each suffix its interval: those that share ``rounds`` symbols have the same number.
 
     Each round puts every suffix where its symbol and the last round's order say (a stable sort of single symbols); the interleave is final
-    when a round moves nothing. Intervals part where the symbols or the last round's intervals differ; string ends equal nothing.
+    when a round moves nothing (a final merge, of which only the intervals are asked, ends with ``rounds``). Intervals part where the symbols or the last round's intervals differ; string ends equal nothing.
     """
     n, ends = len(a.last) + len(b.last), a.strings + b.strings
     side = np.zeros(n, bool)
@@ -155,7 +155,7 @@ def merge(a: Transform, b: Transform, rounds: int) -> tuple[Transform, np.ndarra
             shared = now
         still = n == 0 or bool((new == side).all()) and now[-1] == part[-1]
         side, part = new, now
-        if k >= rounds and still:
+        if k >= rounds and (still or final):
             break
     last, place = np.empty(n, np.uint16), np.empty(n, np.int64)
     last[~side], last[side] = a.last, b.last
@@ -175,7 +175,7 @@ def repeats(strings: list[np.ndarray], shard: int = SHARD) -> tuple[np.ndarray,
     while len(parts) > 1 or interval is None:
         if len(parts) == 1:
             parts.append(Transform(np.zeros(0, np.uint16), np.zeros(0, np.int64), 0))
-        pairs = [merge(parts[i], parts[i + 1], WIDE) for i in range(0, len(parts) - 1, 2)]
+        pairs = [merge(parts[i], parts[i + 1], WIDE, len(parts) == 2) for i in range(0, len(parts) - 1, 2)]
         interval = pairs[0][1]
         parts = [p for p, _ in pairs] + parts[len(parts) & ~1 :]
     return start, parts[0].place, interval
@@ -188,19 +188,18 @@ def first_documents(found: dict[bytes, int]) -> dict[bytes, np.ndarray]:
     for c in found:
         by.setdefault(c[1 + c[0] : 1 + c[0] + GRAM], []).append(c)
     out: dict[bytes, np.ndarray] = {}
-    several: list[tuple[bytes, int]] = []
-    for k, (_, group) in enumerate(by.items()):
+    several: list[tuple[bytes, bool]] = []
+    for group in by.values():
         if len(group) == 1:
             out[group[0]] = np.full(len(group[0]) - LENGTH, found[group[0]], np.int64)
         else:
-            several += [(c, 257 + len(several)) for c in group[:1]] + [(c, -1) for c in group[1:]]
-    # an anchor's symbol is one above the bytes'; more anchors than symbols are settled in turns
-    turn: list[list[bytes]] = []
+            several += [(c, c is group[0]) for c in group]
+    # an anchor's symbol is one above the bytes'; anchors have nothing in common, so they are settled in turns of about two shards
     turns: list[tuple[list[bytes], list[int]]] = []
     symbol, mine, marks = 256, [], []
     for c, head in several:
-        if head >= 0:
-            if symbol >= 65_000:
+        if head:
+            if symbol >= 65_000 or len(mine) >= 2 * SHARD:
                 turns.append((mine, marks))
                 symbol, mine, marks = 256, [], []
             symbol += 1
