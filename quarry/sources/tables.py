@@ -78,9 +78,10 @@ class Table:
         return told["files"] == self.files
 
     def with_ids(self) -> DataFrame:
-        """data with rid: the file's number above SHIFT bits, the row's below. The files' numbers are a small table joined by name."""
-        names = self.spark.createDataFrame([(f.rsplit("/", 1)[-1], i) for i, f in enumerate(self.files)], "file_name string, file_id long")
-        data = self.data.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
+        """data with rid: the file's number above SHIFT bits, the row's below. The files' numbers are a small table joined by name
+        below data (partitions hold files of the same last name)."""
+        names = self.spark.createDataFrame([(f.rpartition("/data/")[2], i) for i, f in enumerate(self.files)], "file_name string, file_id long")
+        data = self.data.select("*", F.substring_index("_metadata.file_path", "/data/", -1).alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
         rid = F.shiftleft(F.col("file_id"), SHIFT) + F.col("row_index")
         return data.join(names, "file_name").withColumn("rid", rid).drop("file_name", "file_id", "row_index")
 
