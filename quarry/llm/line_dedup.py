@@ -8,7 +8,8 @@ Blank lines don't count as content: a chunk needs LEAST lines that hold a word.
 
 Steps: hashes of all chunks are counted (8 bytes each, no text); only documents with a repeated hash take part further, each with the short
 list of its repeated chunks; only those chunks' bytes are grouped, with map-side minima; the removals go back to the documents by id.
-A passage that a third of all documents share costs one row a document, and joins on its key can be split.
+A passage that a third of all documents share costs one row a document, and joins on its key can be split. Documents and lists are merged at every
+size, since the lists grow with the documents.
 
 Defined cases: null text stays null (no lines); empty text has one blank line and is kept. Rows with a null or a repeated doc_id are told apart
 by a row key of id and text hash; exact repeats of a row stay repeated rows with equal treatment, as one document. Extra columns pass.
@@ -89,7 +90,7 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["id", "h", "at", "bytes"])
 
     same = F.expr("m.id <=> r.id and m.h = r.h")
-    texts = rows.alias("r").join(marked.alias("m"), same).select("r.id", "r.h", "r.text", "m.at")
+    texts = rows.alias("r").join(marked.hint("merge").alias("m"), same).select("r.id", "r.h", "r.text", "m.at")
     found = scratch.cut(texts.mapInArrow(pick, "id long, h long, at long, bytes binary").distinct(), "found")
     # null ids sort last: a document with an id is the first
     place = F.struct(F.col("id").isNull().alias("z"), "id", "h", "at")
@@ -103,7 +104,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     gone = removals(docs, scratch)
     own = docs.columns
     rows = docs.withColumn("line_h", F.xxhash64(F.col("text")))
-    joined = rows.join(gone.select(F.col("id").alias("line_id"), F.col("h").alias("line_h2"), F.col("cut").alias("line_cut")), F.expr("doc_id <=> line_id and line_h = line_h2"), "left").select(*own, "line_cut")
+    joined = rows.join(gone.select(F.col("id").alias("line_id"), F.col("h").alias("line_h2"), F.col("cut").alias("line_cut")).hint("merge"), F.expr("doc_id <=> line_id and line_h = line_h2"), "left").select(*own, "line_cut")
     at = own.index("text")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
