@@ -43,9 +43,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/quarry-{what}-{uuid.uuid4().hex[:12]}"
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+    def cut(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """by: columns whose values get folders of their own."""
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{self.root}/{name}")
+        return self.again(df.schema, name)
+
+    def again(self, schema, name: str) -> DataFrame:
+        """What is left of a table that was cut."""
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def free(self) -> None:
         """Lets go of the shuffle files of plans that are no longer held: they go with the driver's garbage, which a quiet driver collects late."""

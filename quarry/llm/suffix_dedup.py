@@ -1,15 +1,16 @@
 """Exact substring dedup: bytes covered by a LENGTH-byte string that also starts in a document of smaller doc_id are removed.
 
-1. Anchors. Of the 31 hashed 20-grams in a window of 50 bytes, the least is its anchor (the first, if several are). Equal windows have
+1. Anchors. Of the 32 hashed 19-grams in a window of 50 bytes, the least is its anchor (the first, if several are). Equal windows have
    equal anchors at equal places, so a window can only repeat where its anchor does. Anchors' hashes are dealt to buckets and those that
    occur in two documents are told back to the documents, in groups of documents dealt by a hash.
 2. Contexts. The windows of one anchor are consecutive; the bytes they span are a context. Each group of documents sends its distinct
    contexts of repeated anchors, with the least doc_id of each. A passage that very many documents hold is sent once a group.
 3. Repeats. A bucket of anchors has every context of its anchors. An anchor with one distinct context is settled: all its windows first
    occur in that context's least document. The others' contexts become strings of bytes, in which the anchor itself is one symbol, so all
-   windows have WIDE = 31 symbols. They are sorted in shards; the shards' Burrows-Wheeler transforms are merged pairwise by refining the
-   interleave one symbol at a time, which tells after WIDE rounds which suffixes share WIDE symbols, without sorting them again. Each such
-   interval's least doc_id is its windows' first document.
+   windows have WIDE = 32 symbols. A string is read in blocks of BLOCK = 8 symbols, once from each of its first eight places, so every
+   window is a run of four blocks; the block is the letter of what follows. These strings are sorted in shards; the shards'
+   Burrows-Wheeler transforms are merged pairwise by refining the interleave one letter at a time, which tells after four rounds which
+   suffixes share WIDE symbols, without sorting them again. Each such interval's least doc_id is its windows' first document.
 4. Removal. Groups of documents get back, for each context they sent, the first document of each of its windows; what first occurs in a
    document of smaller id is covered, and the rest is kept.
 
@@ -26,17 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Scratch, buckets
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM, BLOCK = 50, 19, 8
 WIDE = LENGTH - GRAM + 1
-#: Text bytes in a group of documents or behind a bucket of anchors; contexts in a shard; null ids.
-GROUP_BYTES, BUCKET_BYTES, SHARD, LAST = 4 << 20, 32 << 20, 1 << 12, (1 << 63) - 1
+#: Text bytes in a group of documents, in one of its rows (longer if a document is) or behind a bucket of anchors; contexts in a shard; null ids.
+GROUP_BYTES, PIECE_BYTES, BUCKET_BYTES, SHARD, LAST = 4 << 20, 1 << 19, 32 << 20, 1 << 12, (1 << 63) - 1
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -82,8 +82,9 @@ def contexts(h: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Runs of windows with the same anchor: first window, last window, place of the anchor."""
     # the first gram of each window that has its least hash: step on from each window's start over places that could be anchors
     top = _slide(np.concatenate([np.zeros(WIDE - 1, np.uint64), least, np.zeros(WIDE - 1, np.uint64)]), WIDE, np.maximum)
-    place = np.nonzero(top == h)[0]
-    at = np.searchsorted(place, np.arange(len(least)))
+    could = top == h
+    place = np.nonzero(could)[0]
+    at = (np.cumsum(could) - could)[: len(least)]
     while True:
         wrong = np.nonzero(h[place[at]] != least)[0]
         if not len(wrong):
@@ -94,46 +95,62 @@ def contexts(h: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, np.concatenate([first[1:], [len(own)]]) - 1, own[first]
 
 
+def _changes(x: np.ndarray) -> np.ndarray:
+    """The first of each run of equal items."""
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def codes(h: np.ndarray, n: int) -> np.ndarray:
     """Bucket above 32 bits, the rest of the hash below."""
     return (h >> np.uint64(32)) % np.uint64(n) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """Stable order of numbers below 2^32."""
+    return np.sort(key.astype(np.int64) << 32 | np.arange(len(key))) & 0xFFFFFFFF
+
+
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Of each item, the number of distinct smaller ones."""
+    order = np.argsort(key)
+    key = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])) if len(key) else 0
+    return out
+
+
 class Transform:
-    """The Burrows-Wheeler transform of strings that each end in a symbol 0 of their own, in the order of the strings."""
+    """The Burrows-Wheeler transform of strings that each end in a letter 0 of their own, in the order of the strings."""
 
     def __init__(self, last: np.ndarray, place: np.ndarray, strings: int):
-        #: last[i]: the symbol before the i-th suffix (0 before a string's start); place[i]: where that suffix starts; ends first.
+        #: last[i]: the letter before the i-th suffix (0 before a string's start); place[i]: where that suffix starts; ends first.
         self.last, self.place, self.strings = last, place, strings
 
     @classmethod
     def of(cls, text: np.ndarray, begin: int) -> Transform:
-        """text: symbols, each string's 0 behind it; places are counted from begin."""
+        """text: letters, each string's 0 behind it; places are counted from begin."""
         n = len(text)
         ends = np.nonzero(text == 0)[0]
-        rank = text.astype(np.int64) + len(ends)
+        rank = text + len(ends)
         rank[ends] = np.arange(len(ends))
         step = 1
         while True:
             behind = np.zeros(n, np.int64)
             behind[: n - step] = rank[step:] + 1
-            key = rank * (rank.max() + 2 + n) + behind
-            order = np.argsort(key)  # equal keys get equal ranks, so their order is free
-            fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-            rank = np.empty(n, np.int64)
-            rank[order] = fresh
-            if fresh[-1] == n - 1:
+            rank = _ranks(rank * (int(rank.max()) + 2 + n) + behind)
+            if int(rank.max()) == n - 1:
                 break
             step *= 2
-        before = np.concatenate([[0], text[:-1]])
-        return cls(before[order].astype(np.uint16), order + begin, len(ends))
+        order = np.empty(n, np.int64)
+        order[rank] = np.arange(n)
+        return cls(np.concatenate([[0], text[:-1]])[order], order + begin, len(ends))
 
 
 def merge(a: Transform, b: Transform, rounds: int, final: bool = False) -> tuple[Transform, np.ndarray]:
-    """The transform of both collections, and for each suffix its interval: those that share ``rounds`` symbols have the same number.
+    """The transform of both collections, and for each suffix its interval: those that share ``rounds`` letters have the same number.
 
-    Each round puts every suffix where its symbol and the last round's order say (a stable sort of single symbols); the interleave is final
-    when a round moves nothing (a final merge, of which only the intervals are asked, ends with ``rounds``). Intervals part where the symbols or the last round's intervals differ; string ends equal nothing.
+    Each round puts every suffix where its letter and the last round's order say (a stable sort of single letters); the interleave is final
+    when a round moves nothing (a final merge, of which only the intervals are asked, ends with ``rounds``). Intervals part where the letters or the last round's intervals differ; string ends equal nothing.
     """
     n, ends = len(a.last) + len(b.last), a.strings + b.strings
     side = np.zeros(n, bool)
@@ -142,11 +159,11 @@ def merge(a: Transform, b: Transform, rounds: int, final: bool = False) -> tuple
     shared, k = None, 0
     head = np.concatenate([np.zeros(a.strings, bool), np.ones(b.strings, bool)])
     while True:
-        symbol = np.empty(n, np.uint16)
-        symbol[~side], symbol[side] = a.last, b.last
-        order = np.argsort(symbol, kind="stable")[ends:]  # zeros first: what stands there are the ends, in the strings' order
+        letter = np.empty(n, np.int64)
+        letter[~side], letter[side] = a.last, b.last
+        order = _order(letter)[ends:]  # zeros first: what stands there are the ends, in the strings' order
         new = np.concatenate([head, side[order]])
-        s, p = symbol[order], part[order]
+        s, p = letter[order], part[order]
         fresh = np.ones(n, bool)
         fresh[ends + 1 :] = (s[1:] != s[:-1]) | (p[1:] != p[:-1])
         now = np.cumsum(fresh)
@@ -157,7 +174,7 @@ def merge(a: Transform, b: Transform, rounds: int, final: bool = False) -> tuple
         side, part = new, now
         if k >= rounds and (still or final):
             break
-    last, place = np.empty(n, np.uint16), np.empty(n, np.int64)
+    last, place = np.empty(n, np.int64), np.empty(n, np.int64)
     last[~side], last[side] = a.last, b.last
     place[~side], place[side] = a.place, b.place
     # intervals were numbered in the order of that round; suffixes that moved since stayed within their interval
@@ -165,69 +182,95 @@ def merge(a: Transform, b: Transform, rounds: int, final: bool = False) -> tuple
 
 
 def repeats(strings: list[np.ndarray], shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of strings of symbols from 1: starts of the strings in their concatenation; its suffixes, and their intervals of WIDE symbols."""
-    text = np.concatenate([np.append(s, 0) for s in strings])
-    start = np.cumsum([0] + [len(s) + 1 for s in strings])
-    many = max(2, -(-len(strings) // shard))
-    cut = [start[len(strings) * i // many] for i in range(many + 1)]
-    parts = [Transform.of(text[a:b], int(a)) for a, b in zip(cut, cut[1:]) if b > a]
+    """Of strings of symbols from 1 below 2^16: starts of the strings in their concatenation, each with a 0 behind it; its suffixes, and
+    their intervals of WIDE symbols."""
+    size = np.array([len(s) for s in strings])
+    return intervals(np.concatenate(strings), size, shard)
+
+
+def intervals(symbols: np.ndarray, size: np.ndarray, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As repeats, of strings that follow each other without ends."""
+    begin = np.cumsum(size + 1) - size - 1
+    start = np.append(begin, begin[-1] + size[-1] + 1)
+    n = int(start[-1])
+    text = np.zeros(n, np.uint64)
+    text[np.arange(len(symbols)) + np.repeat(np.arange(len(size)), size)] = symbols
+    j, many = np.arange(n) - np.repeat(begin, size + 1), np.repeat(size, size + 1)
+    # the letter at each place that has BLOCK symbols, by doubling; 0 at those that have fewer
+    wide = np.concatenate([text, np.zeros(BLOCK, np.uint64)])
+    wide = wide[:-1] << np.uint64(16) | wide[1:]
+    wide = _ranks(wide[:-2] << np.uint64(32) | wide[2:])
+    w = 4
+    while w < BLOCK:
+        wide = _ranks(wide[:-w] << 32 | wide[w:])
+        w *= 2
+    letter = np.where(j + BLOCK <= many, wide[:n] + 1, 0)
+    # a string read from its first, second, ... place: what those before it take, then a place for each block
+    f, to = j % BLOCK, np.repeat(begin, size + 1)
+    to += f * ((many + 1) // BLOCK) + np.minimum(f, (many + 1) % BLOCK) + j // BLOCK
+    laid, source = np.empty(n, np.int64), np.empty(n, np.int64)
+    laid[to], source[to] = letter, np.arange(n)
+    pieces = max(2, -(-len(size) // shard))
+    cut = [int(start[len(size) * i // pieces]) for i in range(pieces + 1)]
+    parts = [Transform.of(laid[a:b], a) for a, b in zip(cut, cut[1:]) if b > a]
     interval = None
     while len(parts) > 1 or interval is None:
         if len(parts) == 1:
-            parts.append(Transform(np.zeros(0, np.uint16), np.zeros(0, np.int64), 0))
-        pairs = [merge(parts[i], parts[i + 1], WIDE, len(parts) == 2) for i in range(0, len(parts) - 1, 2)]
+            parts.append(Transform(np.zeros(0, np.int64), np.zeros(0, np.int64), 0))
+        pairs = [merge(parts[i], parts[i + 1], WIDE // BLOCK, len(parts) == 2) for i in range(0, len(parts) - 1, 2)]
         interval = pairs[0][1]
         parts = [p for p, _ in pairs] + parts[len(parts) & ~1 :]
-    return start, parts[0].place, interval
+    return start, source[parts[0].place], interval
 
 
-def first_documents(found: dict[bytes, int]) -> dict[bytes, np.ndarray]:
+def first_documents(found: dict[bytes, int]) -> dict[bytes, int | np.ndarray]:
     """found: contexts (a byte for the anchor's place, then the bytes) and the least doc_id of each. Of each context the least doc_id of
-    each of its windows."""
+    each of its windows; one number where that is the same for all because no other context has its anchor."""
     by: dict[bytes, list[bytes]] = {}
     for c in found:
         by.setdefault(c[1 + c[0] : 1 + c[0] + GRAM], []).append(c)
-    out: dict[bytes, np.ndarray] = {}
-    several: list[tuple[bytes, bool]] = []
-    for group in by.values():
-        if len(group) == 1:
-            out[group[0]] = np.full(len(group[0]) - LENGTH, found[group[0]], np.int64)
-        else:
-            several += [(c, c is group[0]) for c in group]
+    out: dict[bytes, int | np.ndarray] = {}
     # an anchor's symbol is one above the bytes'; anchors have nothing in common, so they are settled in turns of about two shards
-    turns: list[tuple[list[bytes], list[int]]] = []
     symbol, mine, marks = 256, [], []
-    for c, head in several:
-        if head:
-            if symbol >= 65_000 or len(mine) >= 2 * SHARD:
-                turns.append((mine, marks))
-                symbol, mine, marks = 256, [], []
-            symbol += 1
-        mine.append(c), marks.append(symbol)
+    for group in by.values():
+        if len(group) == 1:
+            out[group[0]] = found[group[0]]
+            continue
+        if symbol >= 65_000 or len(mine) >= 2 * SHARD:
+            out.update(_turn(mine, marks, found))
+            symbol, mine, marks = 256, [], []
+        symbol += 1
+        mine += group
+        marks += [symbol] * len(group)
     if mine:
-        turns.append((mine, marks))
-    for mine, marks in turns:
-        strings = []
-        for c, s in zip(mine, marks):
-            b, at = np.frombuffer(c, np.uint8)[1:].astype(np.uint16) + np.uint16(1), c[0]
-            strings.append(np.concatenate([b[:at], [s], b[at + GRAM :]]).astype(np.uint16))
-        start, place, interval = repeats(strings)
-        which = np.searchsorted(start, place, "right") - 1
-        off = place - start[which]
-        windows = np.array([len(c) - LENGTH for c in mine])
-        ok = off < windows[which]
-        which, off, interval = which[ok], off[ok], interval[ok]
-        ids = np.array([found[c] for c in mine], np.int64)
-        least = np.full(int(interval.max()) + 1, LAST, np.int64)
-        np.minimum.at(least, interval, ids[which])
-        at = np.cumsum(windows) - windows
-        flat = np.empty(int(windows.sum()), np.int64)
-        flat[at[which] + off] = least[interval]
-        for c, a, n in zip(mine, at.tolist(), windows.tolist()):
-            out[c] = flat[a : a + n]
+        out.update(_turn(mine, marks, found))
     return out
 
 
+def _turn(mine: list[bytes], marks: list[int], found: dict[bytes, int]) -> dict[bytes, np.ndarray]:
+    raw = np.frombuffer(b"".join(mine), np.uint8)
+    long = np.array([len(c) for c in mine])
+    head = np.cumsum(long) - long
+    at, size, windows = raw[head].astype(np.int64), long - GRAM, long - LENGTH
+    # a context's symbols: its bytes before the anchor, the anchor's symbol, the bytes behind it
+    which = np.repeat(np.arange(len(mine)), size)
+    off = np.arange(len(which)) - (np.cumsum(size) - size)[which]
+    symbols = raw[head[which] + 1 + off + np.where(off > at[which], GRAM - 1, 0)].astype(np.uint16) + np.uint16(1)
+    symbols[np.cumsum(size) - size + at] = np.array(marks, np.uint16)
+    start, place, interval = intervals(symbols, size)
+    which = np.searchsorted(start, np.arange(start[-1]), "right")[place] - 1
+    off = place - start[which]
+    ok = off < windows[which]
+    which, off, interval = which[ok], off[ok], interval[ok]
+    ids = np.array([found[c] for c in mine], np.int64)
+    least = np.full(int(interval.max()) + 1, LAST, np.int64)
+    np.minimum.at(least, interval, ids[which])
+    first = np.cumsum(windows) - windows
+    flat = np.empty(int(windows.sum()), np.int64)
+    flat[first[which] + off] = least[interval]
+    return {c: flat[a : a + n] for c, a, n in zip(mine, first.tolist(), windows.tolist())}
+
+
 def _blobs(bucket: np.ndarray, cols: list[np.ndarray]) -> Iterator[tuple]:
     """(bucket, bytes of each column) for the buckets that have rows."""
     order = np.argsort(bucket, kind="stable")
@@ -247,6 +290,22 @@ def _from(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
+#: A context's first byte: where its anchor starts.
+_BYTE = [bytes((i,)) for i in range(WIDE)]
+
+
+def _packed(x: bytes | np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(x if isinstance(x, bytes) else x.tobytes())
+
+
+def _unpacked(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=0).astype(np.int32)
+
+
 def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row; with_kept: also kept (binary), starts and ends (of what is removed)."""
     spark = docs.sparkSession
@@ -262,7 +321,7 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
             rid, all_, count = b.column(0).to_pylist(), [], []
             for t in b.column(1).to_pylist():
                 raw = t.encode("utf-8", "surrogatepass")
-                got = np.unique(codes(anchors(raw)[1], many)) if len(raw) >= LENGTH else np.zeros(0, np.uint64)
+                got = np.unique(codes(_changes(anchors(raw)[1]), many)) if len(raw) >= LENGTH else np.zeros(0, np.uint64)
                 all_.append(got), count.append(len(got))
             code = np.concatenate(all_) if all_ else np.zeros(0, np.uint64)
             who = np.repeat(np.array(rid, np.int64), count)
@@ -293,14 +352,28 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         return pa.Table.from_batches([_batch([r[:4] for r in out], ["d", "h", "rid", "n"])]).append_column("b", pa.array([r[4] for r in out], pa.int64()))
 
     def cut(a: pa.Table, b: pa.Table) -> pa.Table:
-        """Rows of three kinds: 0 a document that keeps everything; 1 one with repeated anchors; 2 contexts for a bucket."""
+        """Rows of three kinds: 0 a document that keeps everything; 1 those of a group with repeated anchors; 2 contexts for a bucket.
+
+        A group numbers its distinct contexts; its documents and its rows for buckets refer to them by number.
+        """
         rid, h = np.repeat(_from(b, "rid", np.int64), _from(b, "n", np.uint32)), _from(b, "h", np.uint32)
         code = np.repeat(np.array(b.column("b").to_pylist(), np.uint64), [len(x) // 4 for x in b.column("h").to_pylist()]) << np.uint64(32) | h.astype(np.uint64)
         order = np.argsort(rid, kind="stable")
         rid, code = rid[order], code[order]
         out: list[tuple] = []
-        small = zstandard.ZstdCompressor(level=1)
-        found: dict[bytes, list[int]] = {}
+        found: dict[bytes, int] = {}
+        owner, bucket = [], []
+        held: list[tuple] = []
+        d = a.column("d")[0].as_py() if a.num_rows else 0
+
+        def flush() -> None:
+            doc, raw, lo, wide, use = zip(*held)
+            about = [[LAST if i is None else i for i in doc], [i is None for i in doc], map(len, raw), map(len, lo)]
+            lo, use = np.concatenate(lo), np.array([u for us in use for u in us])
+            out.append((1, d, None, None, None, _packed(b"".join(raw)), _packed(_steps(lo)), _packed(np.concatenate(wide).astype(np.uint8)), _packed(_steps(use)), _packed(np.array([list(x) for x in about], np.int64))))
+            held.clear()
+
+        pending = 0
         for doc, text, r in zip(a.column("doc_id").to_pylist(), a.column("text").to_pylist(), a.column("rid").to_pylist()):
             raw = text.encode("utf-8", "surrogatepass")
             mine = code[np.searchsorted(rid, r, "left") : np.searchsorted(rid, r, "right")]
@@ -312,91 +385,103 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
                 ok = np.isin(got, mine)
                 lo, hi, at, got = lo[ok], hi[ok], at[ok], got[ok]
             if not len(lo):
-                out.append((0, 0, doc, len(raw), hashlib.sha256(raw).hexdigest(), raw if with_kept else None, None, None, None))
+                out.append((0, 0, doc, len(raw), hashlib.sha256(raw).hexdigest(), raw if with_kept else None, None, None, None, None))
                 continue
-            least_id = LAST if doc is None else doc
-            for s, e, p, g in zip(lo.tolist(), (hi + LENGTH).tolist(), at.tolist(), (got >> np.uint64(32)).tolist()):
-                c = bytes((p - s,)) + raw[s:e]
-                if (held := found.get(c)) is None:
-                    found[c] = [least_id, g]
-                elif least_id < held[0]:
-                    held[0] = least_id
-            out.append((1, a.column("d")[0].as_py(), doc, len(raw), None, small.compress(raw), small.compress(np.diff(lo, prepend=0).astype(np.int32).tobytes()), (hi - lo).astype(np.uint8).tobytes(), (at - lo).astype(np.uint8).tobytes()))
+            least_id, use = LAST if doc is None else doc, []
+            for s, e, p, g in zip(lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist(), (got >> np.uint64(32)).tolist()):
+                c = _BYTE[p] + raw[s:e]
+                u = found.setdefault(c, len(owner))
+                if u == len(owner):
+                    owner.append(least_id), bucket.append(g)
+                elif least_id < owner[u]:
+                    owner[u] = least_id
+                use.append(u)
+            held.append((doc, raw, lo, hi - lo, use))
+            pending += len(raw)
+            if pending > PIECE_BYTES:
+                flush()
+                pending = 0
+        if held:
+            flush()
         by: dict[int, list] = {}
-        for c, (least_id, g) in found.items():
-            x = by.setdefault(g, ([], [], []))
-            x[0].append(c), x[1].append(least_id), x[2].append(len(c))
-        d = a.column("d")[0].as_py() if a.num_rows else 0
-        for g, (cs, ids, sizes) in by.items():
-            out.append((2, g, d, None, None, small.compress(b"".join(cs)), small.compress(np.array(ids, np.int64).tobytes()), np.array(sizes, np.uint8).tobytes(), None))
-        cols = list(zip(*out)) or [()] * 9
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "k", "id", "n", "sha", "x", "y", "z", "w"])
+        for u, c in enumerate(found):
+            x = by.setdefault(bucket[u], ([], [], [], []))
+            x[0].append(c), x[1].append(owner[u]), x[2].append(len(c)), x[3].append(u)
+        for g, (cs, ids, sizes, us) in by.items():
+            out.append((2, g, d, None, None, _packed(b"".join(cs)), _packed(np.array(ids, np.int64)), _packed(np.array(sizes, np.uint8)), _packed(_steps(np.array(us))), None))
+        cols = list(zip(*out)) or [()] * 10
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "k", "id", "n", "sha", "x", "y", "z", "w", "v"])
 
     def settle(t: pa.Table) -> pa.Table:
         found: dict[bytes, int] = {}
         sent = []
-        for d, x, y, z in zip(*(t.column(c).to_pylist() for c in ("id", "x", "y", "z"))):
-            x, cs, at = zstandard.ZstdDecompressor().decompress(x), [], 0
-            for n in np.frombuffer(z, np.uint8).tolist():
+        for d, x, y, z, w in zip(*(t.column(c).to_pylist() for c in ("id", "x", "y", "z", "w"))):
+            x, cs, at = _unpacked(x, np.uint8).tobytes(), [], 0
+            for n in _unpacked(z, np.uint8).tolist():
                 cs.append(x[at : at + n])
                 at += n
-            ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(y), np.int64).tolist()
-            sent.append((d, cs, ids))
+            ids = _unpacked(y, np.int64).tolist()
+            sent.append((d, cs, ids, np.cumsum(_unpacked(w, np.int32)).tolist()))
             for c, i in zip(cs, ids):
                 if i < found.get(c, LAST + 1):
                     found[c] = i
         first = first_documents(found)
         out = []
-        for d, cs, ids in sent:
+        for d, cs, ids, us in sent:
             # what first occurs in the group itself, the group knows; the rest is told in runs of windows
             key, value, count = [], [], []
-            for c, i in zip(cs, ids):
+            for c, i, u in zip(cs, ids, us):
                 f = first[c]
-                if int(f.min()) < i:
-                    edge = np.append(np.nonzero(f[1:] != f[:-1])[0] + 1, len(f)) if len(f) > 1 else np.array([1])
-                    key.append(xxhash.xxh128_digest(c)), value.append(f[edge - 1]), count.append(np.concatenate([[len(edge)], edge]))
+                if isinstance(f, int):
+                    if f < i:
+                        key.append(u), value.append(f), count.extend((1, len(c) - LENGTH))
+                elif int(f.min()) < i:
+                    edge = [*(np.nonzero(f[1:] != f[:-1])[0] + 1).tolist(), len(f)]
+                    key.append(u), value.extend(f[e - 1] for e in edge), count.extend((len(edge), *edge))
             if key:
-                out.append((d, b"".join(key), np.concatenate(value).astype(np.int64).tobytes(), np.concatenate(count).astype(np.uint8).tobytes()))
+                out.append((d, _packed(_steps(np.array(key))), _packed(np.array(value, np.int64)), _packed(bytes(count))))
         return pa.Table.from_batches([_batch(out, ["d", "key", "first", "n"])])
 
     def remove(a: pa.Table, b: pa.Table) -> pa.Table:
-        told: dict[bytes, tuple[list[int], list[int]]] = {}
+        docs = [(x, *(_unpacked(c, k) for c, k in zip(cs, (np.int32, np.uint8, np.int32, np.int64)))) for x, *cs in zip(*(a.column(c).to_pylist() for c in "xyzwv"))]
+        docs = [(x, np.cumsum(y, dtype=np.int64), z.astype(np.int64), np.cumsum(w, dtype=np.int64), v.reshape(4, -1)) for x, y, z, w, v in docs]
+        # the first document of each context, where it is one for all its windows; several: the others
+        whole = np.full(max((int(w.max()) + 1 for _, _, _, w, _ in docs), default=0), LAST, np.int64)
+        for _, _, _, use, about in docs:
+            np.minimum.at(whole, use, np.repeat(about[0], about[3]))
+        several: dict[int, tuple[list[int], list[int]]] = {}
         for key, first, n in zip(*(b.column(c).to_pylist() for c in ("key", "first", "n"))):
-            first, n, v, u = np.frombuffer(first, np.int64).tolist(), np.frombuffer(n, np.uint8).tolist(), 0, 0
-            for i in range(0, len(key), 16):
-                told[key[i : i + 16]] = first[v : v + n[u]], n[u + 1 : u + 1 + n[u]]
+            first, n, v, u = _unpacked(first, np.int64).tolist(), _unpacked(n, np.uint8).tolist(), 0, 0
+            for i in np.cumsum(_unpacked(key, np.int32)).tolist():
+                if n[u] == 1:
+                    whole[i] = first[v]
+                else:
+                    several[i] = first[v : v + n[u]], n[u + 1 : u + 1 + n[u]]
                 v, u = v + n[u], u + 1 + n[u]
-        rows, least = [], {}
-        for doc, raw, x, y, z in zip(*(a.column(c).to_pylist() for c in ("id", "x", "y", "z", "w"))):
-            raw, x = (zstandard.ZstdDecompressor().decompress(v) for v in (raw, x))
-            lo, own = np.cumsum(np.frombuffer(x, np.int32)).tolist(), LAST if doc is None else doc
-            keys = [xxhash.xxh128_digest(bytes((q,)) + raw[s : s + e + LENGTH]) for s, e, q in zip(lo, y, z)]
-            rows.append((doc, own, raw, lo, y, keys))
-            for k in keys:
-                if own < least.get(k, LAST + 1):
-                    least[k] = own
+        mixed = np.zeros(len(whole), bool)
+        mixed[list(several)] = True
         out = []
-        for doc, own, raw, lo, y, keys in rows:
-            step = np.zeros(len(raw) + 1, np.int32)
-            for s, e, k in zip(lo, y, keys):
-                if (known := told.get(k)) is None:
-                    if least[k] < own:
-                        step[s] += 1
-                        step[s + e + LENGTH] -= 1
-                    continue
-                at = s
-                for m, end in zip(*known):
-                    if m < own:
-                        step[at] += 1
-                        step[s + end - 1 + LENGTH] -= 1
-                    at = s + end
-            over = np.cumsum(step[:-1]) > 0
-            edge = np.diff(over.astype(np.int8), prepend=0, append=0)
-            kept = np.frombuffer(raw, np.uint8)[~over].tobytes()
-            start = np.nonzero(edge == 1)[0]
-            more = (kept, start.astype(np.int64).tolist(), np.nonzero(edge == -1)[0].astype(np.int64).tolist()) if with_kept else ()
-            out.append((doc, len(raw), int(over.sum()), len(start), hashlib.sha256(kept).hexdigest(), *more))
+        for x, lo, wide, use, (ids, null, sizes, counts) in docs:
+            x, p, q = _unpacked(x, np.uint8), 0, 0
+            for own, none, n, m in zip(ids.tolist(), null.tolist(), sizes.tolist(), counts.tolist()):
+                raw, s, e, u = x[p : p + n], lo[q : q + m], wide[q : q + m] + LENGTH, use[q : q + m]
+                p, q = p + n, q + m
+                hit = (whole[u] < own) & ~mixed[u]
+                begin, end = [s[hit]], [s[hit] + e[hit]]
+                for i in np.nonzero(mixed[u])[0].tolist():
+                    at = 0
+                    for f, to in zip(*several[int(u[i])]):
+                        if f < own:
+                            begin.append(s[i : i + 1] + at), end.append(s[i : i + 1] + to - 1 + LENGTH)
+                        at = to
+                step = np.bincount(np.concatenate(begin), minlength=n + 1) - np.bincount(np.concatenate(end), minlength=n + 1)
+                over = np.cumsum(step[:-1]) > 0
+                edge = np.diff(over.astype(np.int8), prepend=0, append=0)
+                kept = raw[~over].tobytes()
+                start = np.nonzero(edge == 1)[0]
+                more = (kept, start.astype(np.int64).tolist(), np.nonzero(edge == -1)[0].astype(np.int64).tolist()) if with_kept else ()
+                out.append((None if none else own, n, int(over.sum()), len(start), hashlib.sha256(kept).hexdigest(), *more))
         kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())] * with_kept
         cols = list(zip(*out)) or [()] * len(kinds)
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *tail])
@@ -405,12 +490,15 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     told = scratch.cut(posts.groupBy("b").applyInArrow(shared, "d int, h binary, rid binary, n binary, b long"), "shared")
     del posts
     scratch.free()
-    schema = "kind int, k int, id long, n long, sha string, x binary, y binary, z binary, w binary"
-    mid = scratch.cut(rows.groupBy("d").cogroup(told.groupBy("d")).applyInArrow(cut, schema), "contexts")
+    schema = "kind int, k int, id long, n long, sha string, x binary, y binary, z binary, w binary, v binary"
+    mid = scratch.cut(rows.groupBy("d").cogroup(told.groupBy("d")).applyInArrow(cut, schema), "contexts", "kind")
     del told
     scratch.drop("shared")
     scratch.free()
-    first = mid.filter("kind = 2").groupBy("k").applyInArrow(settle, "d int, key binary, first binary, n binary")
+    first = scratch.cut(mid.filter("kind = 2").groupBy("k").applyInArrow(settle, "d int, key binary, first binary, n binary"), "first")
+    scratch.drop("contexts/kind=2")  # the contexts are settled: only documents are still read
+    mid = scratch.again(mid.schema, "contexts")
+    scratch.free()
     ends = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, starts array<long>, ends array<long>" * with_kept
     some = mid.filter("kind = 1").groupBy("k").cogroup(first.groupBy("d")).applyInArrow(remove, ends)
     none = mid.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), *([F.col("x").alias("kept"), F.array().cast("array<long>").alias("starts"), F.array().cast("array<long>").alias("ends")] * with_kept))
