@@ -68,6 +68,41 @@ def test_against_brute_force(spark):
         assert got == sorted(brute(rows), key=str)
 
 
+def test_long_texts(spark):
+    """Documents longer than a row of a group holds, among short ones, with passages in common at both ends and across them."""
+    rng = random.Random(7)
+    text = lambda k: "".join(rng.choices("abcdefghij ", k=k))
+    common = [text(rng.randint(60, 300)) for _ in range(5)]
+    long = text(S.PIECE_BYTES + 50_000)
+    rows = [(9, common[0] + long), (3, text(S.PIECE_BYTES + 9) + common[0]), (70, long[1000:90_000] + "!" + long[90_000:150_000])]
+    rows += [(100 + i, rng.choice(common)[rng.randint(0, 9) :] + text(rng.randint(0, 900)) + rng.choice(common)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in S.query(df).collect()) == sorted(brute(rows))
+
+
+def test_turn_equals_comparing_windows():
+    """Contexts that share an anchor: the least id of each window, with anchors at both ends and contexts that only differ far from it."""
+    rng = random.Random(11)
+    found = {}
+    for _ in range(4):
+        anchor = bytes(rng.choices(b"ab", k=S.GRAM))
+        for _ in range(30):
+            left, right = bytes(rng.choices(b"aab", k=S.WIDE - 1)), bytes(rng.choices(b"aab", k=S.WIDE - 1))
+            a, b = rng.choice([(31, 0), (0, 31), (31, 31), (20, 25)])
+            found[bytes((a,)) + left[len(left) - a :] + anchor + right[:b]] = rng.randint(-5, 99)
+    # a window is known by its bytes and its anchor's place, as equal windows have equal anchors at equal places
+    least = {}
+    for c, i in found.items():
+        for k in range(len(c) - S.LENGTH):
+            w = (c[0] - k, c[1 + k : 1 + k + S.LENGTH])
+            least[w] = min(i, least.get(w, S.LAST))
+    got = S.first_documents(found)
+    assert got.keys() == found.keys()
+    for c in found:
+        want = [least[c[0] - k, c[1 + k : 1 + k + S.LENGTH]] for k in range(len(c) - S.LENGTH)]
+        assert want == ([got[c]] * len(want) if isinstance(got[c], int) else got[c].tolist())
+
+
 def test_kept_bytes_and_empty(spark):
     rows = corpus(5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
