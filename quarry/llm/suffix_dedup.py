@@ -332,6 +332,24 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
                 out.append((k, c, r[edge].tobytes(), np.diff(edge, append=len(r)).astype(np.uint32).tobytes()))
             yield _batch(out, ["b", "h", "rid", "n"])
 
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch's documents of each group in one row, compressed before they are dealt out."""
+        for b in batches:
+            doc, raw = b.column("doc_id"), [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            cols = [doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), b.column("rid").to_numpy(zero_copy_only=False), np.array(list(map(len, raw)), np.int64), np.arange(len(raw))]
+            out = []
+            for d, *mine, which in _blobs(b.column("d").to_numpy(zero_copy_only=False), cols):
+                out.append((d, *mine, _packed(b"".join([raw[i] for i in np.frombuffer(which, np.int64).tolist()]))))
+            yield _batch(out, ["d", "ids", "none", "rids", "sizes", "x"])
+
+    def unbundled(t: pa.Table) -> Iterator[tuple[int | None, int, bytes]]:
+        """Id, row id and bytes of each document."""
+        for ids, none, rids, sizes, x in zip(*(t.column(c).to_pylist() for c in ("ids", "none", "rids", "sizes", "x"))):
+            x, at = zstandard.ZstdDecompressor().decompress(x), 0
+            for i, missing, r, n in zip(*(np.frombuffer(c, k).tolist() for c, k in ((ids, np.int64), (none, bool), (rids, np.int64), (sizes, np.int64)))):
+                yield None if missing else i, r, x[at : at + n]
+                at += n
+
     def shared(t: pa.Table) -> pa.Table:
         k = t.column("b")[0].as_py()
         h, rid = _from(t, "h", np.uint32), np.repeat(_from(t, "rid", np.int64), _from(t, "n", np.uint32))
@@ -374,8 +392,7 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
             held.clear()
 
         pending = 0
-        for doc, text, r in zip(a.column("doc_id").to_pylist(), a.column("text").to_pylist(), a.column("rid").to_pylist()):
-            raw = text.encode("utf-8", "surrogatepass")
+        for doc, r, raw in unbundled(a):
             mine = code[np.searchsorted(rid, r, "left") : np.searchsorted(rid, r, "right")]
             lo = np.zeros(0, np.int64)
             if len(mine):
@@ -491,8 +508,9 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     del posts
     scratch.free()
     schema = "kind int, k int, id long, n long, sha string, x binary, y binary, z binary, w binary, v binary"
-    mid = scratch.cut(rows.groupBy("d").cogroup(told.groupBy("d")).applyInArrow(cut, schema), "contexts", "kind")
-    del told
+    texts = rows.mapInArrow(bundle, "d int, ids binary, none binary, rids binary, sizes binary, x binary")
+    mid = scratch.cut(texts.groupBy("d").cogroup(told.groupBy("d")).applyInArrow(cut, schema), "contexts", "kind")
+    del told, texts
     scratch.drop("shared")
     scratch.free()
     first = scratch.cut(mid.filter("kind = 2").groupBy("k").applyInArrow(settle, "d int, key binary, first binary, n binary"), "first")
