@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import Scratch
 
@@ -59,10 +60,6 @@ def chunks(text: bytes) -> tuple[list[int], list[int], list[int], int]:
     return start, ends, [xxhash.xxh64_intdigest(text[a:b].rstrip(b"\n")) for a, b in zip(start, ends)], n
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("line_key", F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text")).alias("h")))
-
-
 def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, h, at): of the document with that id and text hash, the starts of the chunks to remove."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text")).filter("text is not null")
@@ -99,18 +96,18 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks of lines removed from text, and the added columns line_total and line_removed (longs)."""
+    """docs with repeated chunks of lines removed from text, and the added columns line_total and line_removed (longs), before which columns
+    of these names give way; others of any name pass."""
     scratch = Scratch(docs.sparkSession, "lines")
     gone = removals(docs, scratch)
-    own = docs.columns
-    rows = docs.withColumn("line_h", F.xxhash64(F.col("text")))
-    joined = rows.join(gone.select(F.col("id").alias("line_id"), F.col("h").alias("line_h2"), F.col("cut").alias("line_cut")).hint("merge"), F.expr("doc_id <=> line_id and line_h = line_h2"), "left").select(*own, "line_cut")
-    at = own.index("text")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "line_total", "line_removed")]
+    rows = docs.select(F.struct(*rest).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
+    joined = rows.join(gone.hint("merge"), F.expr("doc_id <=> id and hash = h"), "left").select("row", "text", "cut")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, total, removed = [], [], []
-            for t, cut in zip(b.column(at).to_pylist(), b.column(len(own)).to_pylist()):
+            for t, cut in zip(b.column("text").to_pylist(), b.column("cut").to_pylist()):
                 n = 0 if t is None else t.count("\n") + 1
                 lost = 0
                 if cut:
@@ -122,14 +119,11 @@ def cleaned(docs: DataFrame) -> DataFrame:
                             low = e
                     t = b"".join([*kept, raw[low:]]).decode("utf-8", "surrogatepass")
                 texts.append(t), total.append(n), removed.append(lost)
-            cols = [b.column(i) for i in range(len(own))]
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*own, "line_total", "line_removed"])
-
-    schema = docs.schema
-    for c in ("line_total", "line_removed"):
-        schema = schema.__class__(schema.fields).add(c, "long")
-    return joined.mapInArrow(rebuild, schema)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["row", "text", "line_total", "line_removed"])
+
+    schema = T.StructType([rows.schema["row"], rows.schema["text"]]).add("line_total", "long").add("line_removed", "long")
+    own = ["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("line_total", "line_removed")]
+    return joined.mapInArrow(rebuild, schema).select(*own, "line_total", "line_removed")
 
 
 def query(docs: DataFrame) -> DataFrame:
