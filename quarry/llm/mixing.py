@@ -93,12 +93,14 @@ def flow(supply: list[tuple[tuple, int]], target: dict, most: float = MOST, cost
 def mix(rows: DataFrame, sources: Column, size: Column, key: Column, factor: float = FACTOR, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """rows with the added columns mix_size, mix_target (the sum of its sources' targets), mix_source_size and mix_times (how often it is taken).
 
-    sources: array of the sources that hold the row; key: what tells rows apart, for the seeded order.
+    sources: array of the sources that hold the row; key: what tells rows apart, for the seeded order. Columns of rows that are named as the
+    added ones give way to them; others of any name pass.
     """
     spark = rows.sparkSession
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
-    own = rows.columns
-    r = rows.select(*own, F.array_sort(F.array_distinct(sources)).alias("mix_pattern"), F.coalesce(size.cast("long"), F.lit(0)).alias("mix_size"), h.alias("mix_hash"))
+    added = ["mix_size", "mix_target", "mix_source_size", "mix_times"]
+    own = [F.col(f"mix_row.`{c}`") for c in rows.columns if c not in added]
+    r = rows.select(F.struct("*").alias("mix_row"), F.array_sort(F.array_distinct(sources)).alias("mix_pattern"), F.coalesce(size.cast("long"), F.lit(0)).alias("mix_size"), h.alias("mix_hash"))
     r = r.withColumn("mix_bucket", F.substring("mix_hash", 1, 3))
     bins = r.groupBy("mix_pattern", "mix_bucket").agg(F.sum("mix_size").alias("n"))
     totals = bins.groupBy("mix_pattern").agg(F.sum("n").alias("n")).collect()  # a row for each membership pattern
@@ -128,7 +130,7 @@ def mix(rows: DataFrame, sources: Column, size: Column, key: Column, factor: flo
     run = Window.partitionBy("mix_pattern", "mix_bucket").orderBy("mix_hash", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     last = told.filter(edge).withColumn("sofar", F.col("before") + F.coalesce(F.sum("mix_size").over(run), F.lit(0)))
     last = last.withColumn("more", (F.col("sofar") + F.col("mix_size") / 2 <= F.col("rest")).cast("int")).drop("sofar")
-    return sure.unionByName(last).select(*own, "mix_size", "mix_target", "mix_source_size", (F.col("whole") + F.col("more")).alias("mix_times"))
+    return sure.unionByName(last).withColumn("mix_times", F.col("whole") + F.col("more")).select(*own, *added)
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -139,10 +141,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **params) -> DataFrame:
     """The documents of the mix: each as often as it is taken, columns as they were."""
-    own = docs.columns
-    rows = docs.withColumn("mix_words", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)))
-    got = mix(rows, F.array("source"), F.col("mix_words"), F.col("doc_id"), **params)
-    return got.filter("mix_times > 0").withColumn("mix_copy", F.explode(F.expr("sequence(1, mix_times)"))).select(*own)
+    got = mix(docs.select(F.struct("*").alias("doc")), F.array("doc.source"), F.regexp_count(F.col("doc.text"), F.lit(WORD)), F.col("doc.doc_id"), **params)
+    return got.filter("mix_times > 0").select("doc", F.explode(F.expr("sequence(1, mix_times)"))).select("doc.*")
 
 
 SQL = r"""
