@@ -127,3 +127,16 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
 def buckets(spark: SparkSession, amount: int, per: int) -> int:
     """How many groups to deal ``amount`` into: one for each ``per``; where that is less than the session's partitions, up to sixteen for each."""
     return max(1, -(-amount // per), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-16 * amount // per)))
+
+
+def one_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of docs, exactly one row of each group: the one of the least doc_id (null last), then text hash. groups: (doc_id, h, root), a row for
+    each row of docs; h is xxhash64 of the text. Of rows alike in id and text, the one whose other columns hash least stays.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
+    same = groups.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    stay = same.groupBy("root").agg(F.min_by(F.struct("doc_id", "h", "n"), place).alias("s")).select("s.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = rows.join(stay, F.expr("id <=> doc_id and hash = h")).select("row", "id", "hash", "n")
+    many = kept.filter("n > 1").groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.filter("n = 1").select("row").unionByName(many.select("row")).select("row.*")
