@@ -1,15 +1,19 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines, extended line by line to whole passages.
 
 A text's lines are hashed; a rolling hash over WINDOW line hashes ends a chunk where it is 0 modulo EVERY, so boundaries move with the content
-and not with its place. Chunks of several lines that occur again anywhere (in other documents or the same) are removed but for the first
-occurrence, by doc_id, then place. Chunks that share a hash are compared byte for byte (they are grouped by their bytes).
+and not with its place. A passage seldom begins and ends at chunks' ends, and a short one holds no chunk, so chunks are joined by seams: a seam
+is LEAST adjacent lines with words (and the blank lines between them), wherever they are. Chunks and seams are units. Units that occur again
+anywhere (in other documents or the same) are removed but for the first occurrence, by doc_id, then place. Units that share a hash are
+compared byte for byte (they are grouped by their bytes). So of a passage of LEAST lines or more that an earlier document holds, nothing stays.
 
-Blank lines don't count as content: a chunk needs LEAST lines that hold a word. Runs longer than LONGEST lines are cut, by the same rule.
+Blank lines don't count as content: a unit needs LEAST lines that hold a word. Chunks longer than LONGEST lines are cut, by the same rule.
+Units overlap: a line goes if any of the units that cover it does. Each line that goes has an equal line at an earlier place, so the first stays;
+a run of one line goes but for the first (LEAST - 1) lines.
 
-Steps: hashes of all chunks are counted (8 bytes each, no text); only documents with a repeated hash take part further, each with the short
-list of its repeated chunks; only those chunks' bytes are grouped, with map-side minima; the removals go back to the documents by id.
-A passage that a third of all documents share costs one row a document, and joins on its key can be split. Documents and lists are merged at every
-size, since the lists grow with the documents.
+Steps: hashes of all units are counted (8 bytes each, no text); only documents with a repeated hash take part further, each with the short
+list of its repeated units; only those units' bytes are grouped, with map-side minima; the removals go back to the documents by id.
+A passage that a third of all documents share costs one row a document and unit, and joins on its key can be split. Documents and lists are
+merged at every size, since the lists grow with the documents.
 
 Defined cases: null text stays null (no lines); empty text has one blank line and is kept. Rows with a null or a repeated doc_id are told apart
 by a row key of id and text hash; exact repeats of a row stay repeated rows with equal treatment, as one document. Extra columns pass.
@@ -33,13 +37,17 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def chunks(text: bytes) -> tuple[list[int], list[int], list[int], int]:
-    """Starts, ends (bytes, with the line's end) and hashes of the chunks of LEAST lines with words or more; the number of lines."""
+    """Starts, ends (bytes, with the line's end) and hashes of the units: chunks of LEAST lines with words or more, and seams; the number of lines.
+
+    In the order of starts, then ends; a seam with the start and bytes of a chunk is that chunk.
+    """
     lines = text.split(b"\n")
     n = len(lines)
     h = np.fromiter((xxhash.xxh64_intdigest(x) for x in lines), np.uint64, n)
     size = np.fromiter(map(len, lines), np.int64, n) + 1
     end = np.cumsum(size)
-    full = np.cumsum(np.fromiter((bool(x) and not x.isspace() for x in lines), np.int64, n))
+    word = np.fromiter((bool(x) and not x.isspace() for x in lines), bool, n)
+    full = np.cumsum(word)
     roll = h * _MIX
     for k in range(1, WINDOW):
         roll[k:] = roll[k:] ^ (h[:-k] * (_MIX + np.uint64(2 * k)) >> np.uint64(k))
@@ -56,24 +64,35 @@ def chunks(text: bytes) -> tuple[list[int], list[int], list[int], int]:
     words = full[cut] - np.where(first > 0, full[first - 1], 0)
     ok = words >= LEAST
     start, ends = (end[first] - size[first])[ok].tolist(), np.minimum(end[cut], len(text))[ok].tolist()
-    # a last chunk's bytes lack the line's end: hashed and compared without it everywhere
+    at = np.nonzero(word)[0]
+    low, high = at[: max(0, len(at) - LEAST + 1)], at[LEAST - 1 :]
+    chunk = {a: len(text[a:b].rstrip(b"\n")) for a, b in zip(start, ends)}
+    seams = zip((end[low] - size[low]).tolist(), np.minimum(end[high], len(text)).tolist())
+    units = sorted([*zip(start, ends), *((a, b) for a, b in seams if chunk.get(a) != len(text[a:b].rstrip(b"\n")))])
+    start, ends = [a for a, _ in units], [b for _, b in units]
+    # a last unit's bytes lack the line's end: hashed and compared without it everywhere
     return start, ends, [xxhash.xxh64_intdigest(text[a:b].rstrip(b"\n")) for a, b in zip(start, ends)], n
 
 
+def place(start: int, end: int) -> int:
+    """Start and length of a unit in one number, in the order of starts; a text has less than 2 GB."""
+    return start << 32 | end - start
+
+
 def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, h, at): of the document with that id and text hash, the starts of the chunks to remove."""
+    """(id, h, cut): of the document with that id and text hash, the units to remove, as place() has them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text")).filter("text is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, hs, out = b.column(0).to_pylist(), b.column(1).to_pylist(), ([], [], [], [])
             for i, h, t in zip(ids, hs, b.column(2).to_pylist()):
-                start, _, got, _ = chunks(t.encode("utf-8", "surrogatepass"))
-                out[0].extend([i] * len(start)), out[1].extend([h] * len(start)), out[2].extend(start), out[3].extend(got)
+                start, ends, got, _ = chunks(t.encode("utf-8", "surrogatepass"))
+                out[0].extend([i] * len(start)), out[1].extend([h] * len(start)), out[2].extend(map(place, start, ends)), out[3].extend(got)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(np.array(out[3], np.uint64).view(np.int64))], ["id", "h", "at", "k"])
 
     all_ = scratch.cut(rows.mapInArrow(cut, "id long, h long, at long, k long"), "chunks")
-    # copies of a row are one document: its chunks don't repeat themselves
+    # copies of a row are one document: its units don't repeat themselves
     often = all_.groupBy("k").agg(F.min(F.struct("id", "h", "at")).alias("a"), F.max(F.struct("id", "h", "at")).alias("b")).filter("a <> b").select("k")
     marked = scratch.cut(all_.join(often, "k").groupBy("id", "h").agg(F.collect_set("at").alias("at")), "marked")
 
@@ -82,7 +101,7 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
             out = []
             for i, h, t, at in zip(*(b.column(c).to_pylist() for c in ("id", "h", "text", "at"))):
                 raw, want = t.encode("utf-8", "surrogatepass"), set(at)
-                out += [(i, h, s, raw[s:e].rstrip(b"\n")) for s, e in zip(*chunks(raw)[:2]) if s in want]
+                out += [(i, h, place(s, e), raw[s:e].rstrip(b"\n")) for s, e in zip(*chunks(raw)[:2]) if place(s, e) in want]
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["id", "h", "at", "bytes"])
 
@@ -90,13 +109,13 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = rows.alias("r").join(marked.hint("merge").alias("m"), same).select("r.id", "r.h", "r.text", "m.at")
     found = scratch.cut(texts.mapInArrow(pick, "id long, h long, at long, bytes binary").distinct(), "found")
     # null ids sort last: a document with an id is the first
-    place = F.struct(F.col("id").isNull().alias("z"), "id", "h", "at")
-    first = found.groupBy("bytes").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bytes", "first")
-    return found.join(first, "bytes").filter(place != F.col("first")).groupBy("id", "h").agg(F.collect_list("at").alias("cut"))
+    where = F.struct(F.col("id").isNull().alias("z"), "id", "h", "at")
+    first = found.groupBy("bytes").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bytes", "first")
+    return found.join(first, "bytes").filter(where != F.col("first")).groupBy("id", "h").agg(F.collect_list("at").alias("cut"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks of lines removed from text, and the added columns line_total and line_removed (longs), before which columns
+    """docs with repeated units of lines removed from text, and the added columns line_total and line_removed (longs), before which columns
     of these names give way; others of any name pass."""
     scratch = Scratch(docs.sparkSession, "lines")
     gone = removals(docs, scratch)
@@ -113,9 +132,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
                 if cut:
                     raw, want, kept, low = t.encode("utf-8", "surrogatepass"), set(cut), [], 0
                     for s, e in zip(*chunks(raw)[:2]):
-                        if s in want:
+                        if place(s, e) in want and e > low:
                             kept.append(raw[low:s])
-                            lost += raw.count(b"\n", s, e) + (not raw.endswith(b"\n", s, e))
+                            lost += raw.count(b"\n", max(low, s), e) + (not raw.endswith(b"\n", s, e))
                             low = e
                     t = b"".join([*kept, raw[low:]]).decode("utf-8", "surrogatepass")
                 texts.append(t), total.append(n), removed.append(lost)

@@ -59,3 +59,25 @@ def test_boundaries_shift_with_content():
 
 def test_empty(spark):
     assert L.query(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_whole_passages_go(spark):
+    """Passages of any length from two lines on, at any place, blank lines within: all but the first goes, and what is around them stays."""
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(9))
+    rows, want = [], {}
+    for n in range(2, 14):
+        passage = [line() for _ in range(n)]
+        if n % 3 == 0:
+            passage[1:1] = ["", " "]
+        for k in range(8):
+            before, after = [line() for _ in range(rng.randint(0, 5))], [line() for _ in range(rng.randint(1, 5))]
+            rows.append((100 * n + k, "\n".join(before + passage + after)))
+            want[100 * n + k] = "\n".join(before + (after if k else passage + after)), len(passage) if k else 0
+    got = {r.doc_id: (r.text, r.line_removed) for r in L.cleaned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_one_line_repeats_stay(spark):
+    rows = [(i, f"own line {i}\nshared line\nother line {i}") for i in range(9)]
+    assert {r.line_removed for r in L.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
