@@ -171,22 +171,32 @@ def links(distinct: DataFrame, n: int, most: int = MOST) -> DataFrame:
     return posts.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
+def _named(found: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """(fp, least, root) of the distinct fingerprints of found (doc_id, fp): the smallest doc_id that has it, and its component."""
+    classes = scratch.cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    root = components(links(classes, classes.count(), most), scratch)
+    return classes.join(root, classes.fp == root.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = MOST) -> DataFrame:
     """(doc_id, fp long, component_id): the smallest doc_id that links of at most ``most`` bits lead to."""
     scratch = Scratch(docs.sparkSession, "simhash")
     found = scratch.cut(fingerprints(docs, shingle), "fp")
-    classes = scratch.cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    root = components(links(classes, classes.count(), most), scratch)
-    named = classes.join(root, classes.fp == root.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _named(found, scratch, most)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     label = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return found.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 3, most: int = MOST) -> DataFrame:
-    """The documents whose doc_id names their component, and those without an id: one of each group stays."""
-    drop = near_duplicates(docs, shingle, most).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component: that of the least doc_id (null last), then text hash."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    texts = docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    found = scratch.cut(fingerprints(texts.select(F.col("h").alias("doc_id"), "text").distinct(), shingle), "fp")
+    named = _named(found, scratch, most)
+    hashes = found.join(named, "fp").select(F.col("doc_id").alias("h"), "root").distinct()
+    groups = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).join(hashes, "h").select("doc_id", "h", "root")
+    return common.one_each(docs, groups)
 
 
 def query(docs: DataFrame) -> DataFrame:

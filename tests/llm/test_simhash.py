@@ -88,3 +88,10 @@ def test_empty_nulls_and_repeats(spark):
 def test_wider_links_are_refused(spark):
     with pytest.raises(ValueError):
         S.links(spark.createDataFrame([(1,)], "fp long"), 1, 4)
+
+
+def test_one_row_of_a_component_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(5, a, 1), (5, b, 1), (3, b, 1), (None, a, 1), (None, "alone", 1), (None, "alone", 1), (7, "twice", 2), (7, "twice", 1)], "doc_id long, text string, x int")
+    got = sorted(((r.doc_id, r.text) for r in S.deduplicated(df).collect()), key=str)
+    assert got == sorted([(5, a), (3, b), (None, "alone"), (7, "twice")], key=str)
