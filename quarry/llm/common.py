@@ -7,8 +7,11 @@ import tempfile
 import time
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents whose crc32 leaves this remainder are held out of all training.
 FOLDS = 5
+#: Text bytes that a Python worker turns into objects at once.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +70,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], *columns: str | int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the values of ``columns`` (strings or bytes) take no more than ``most`` bytes in each, but for single longer ones."""
+    for b in batches:
+        size = sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        part = np.cumsum(size) // most
+        edge = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), b.num_rows]
+        for low, high in zip(edge, edge[1:]):
+            if high > low:
+                yield b.slice(low, high - low)
+
+
 def held_out(doc_id) -> F.Column:
     """crc32 of the id's decimal text leaves 0 by FOLDS; a null id is held out, since it can't be shown to be a training row."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
