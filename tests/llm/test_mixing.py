@@ -1,3 +1,7 @@
+import itertools
+import random
+from collections import Counter
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -42,10 +46,51 @@ def test_query_equals_sql(spark, tmp_path):
     assert all(abs(t - n) <= 100 for t, n in by.values())
 
 
+def best(supply, target, most=2):
+    """Of all amounts that can be routed, the greatest total and its least cost. Amounts can be routed if no set of patterns gives more than
+    the sources in it take."""
+    top = (-1, 0)
+    sets = [c for k in range(1, len(supply) + 1) for c in itertools.combinations(range(len(supply)), k)]
+    for g in itertools.product(*(range(most * n + 1) for _, n in supply)):
+        if all(sum(g[i] for i in c) <= sum(target[s] for s in {s for i in c for s in supply[i][0]}) for c in sets):
+            top = max(top, (sum(g), -sum(min(x, n) + 3 * max(0, x - n) for x, (_, n) in zip(g, supply))))
+    return top
+
+
+def test_flow_is_the_greatest_and_cheapest():
+    rng = random.Random(4)
+    for _ in range(60):
+        names = "abc"[: rng.randint(1, 3)]
+        supply = [(tuple(sorted(rng.sample(names, rng.randint(1, len(names))))), rng.randint(0, 3)) for _ in range(rng.randint(1, 4))]
+        supply = list(dict(supply).items())
+        target = {s: rng.randint(0, 8) for s in names}
+        got = M.flow(supply, target)
+        assert (sum(got), -sum(min(x, n) + 3 * max(0, x - n) for x, (_, n) in zip(got, supply))) == best(supply, target)
+        assert all(isinstance(g, int) and 0 <= g <= 2 * n for g, (_, n) in zip(got, supply))
+
+
 def test_overlapping_sources(spark):
-    rows = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["a"], 10) for i in range(200)], "doc_id long, sources array<string>, n int")
-    got = M.mix(rows, F.col("sources"), F.col("n"), F.col("doc_id")).collect()
-    assert len(got) == 200 and all(r.mix_times in (0, 1, 2) for r in got)
+    """What the documents of each pattern give in all is what the flow asks of it, to the nearest document."""
+    held = [["a", "b"], ["a"], ["b", "c"], ["c"], ["c"], ["c"]]
+    rows = [(i, held[i % 6], 3 + i % 17) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, sources array<string>, n int")
+    got = M.mix(df, F.col("sources"), F.col("n"), F.col("doc_id")).collect()
+    size, sizes = Counter(), Counter()
+    for _, s, n in rows:
+        size[tuple(s)] += n
+        for x in s:
+            sizes[x] += n
+    supply = sorted(size.items())
+    want = dict(zip([p for p, _ in supply], M.flow(supply, M.targets(sizes))))
+    given = Counter()
+    for r in got:
+        given[tuple(r.sources)] += r.n * r.mix_times
+    assert len(got) == 1200 and all(abs(given[p] - want[p]) <= 10 for p in want)
+
+
+def test_the_flow_decides(spark, monkeypatch):
+    monkeypatch.setattr(M, "flow", lambda supply, *a: [0] * len(supply))
+    assert {r.taken for r in M.query(docs(spark)).collect()} == {0}
 
 
 def test_mixed_and_empty(spark):
