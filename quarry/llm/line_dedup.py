@@ -4,7 +4,7 @@ A text's lines are hashed; a rolling hash over WINDOW line hashes ends a chunk w
 and not with its place. A passage seldom begins and ends at chunks' ends, and a short one holds no chunk, so chunks are joined by seams: a seam
 is LEAST adjacent lines with words (and the blank lines between them), wherever they are. Chunks and seams are units. Units that occur again
 anywhere (in other documents or the same) are removed but for the first occurrence, by doc_id, then place. Units that share a hash are
-compared byte for byte (they are grouped by their bytes). So of a passage of LEAST lines or more that an earlier document holds, nothing stays.
+compared byte for byte (they are grouped by their bytes, without the end of the last line). So of a passage of LEAST lines or more that an earlier document holds, nothing stays.
 
 Blank lines don't count as content: a unit needs LEAST lines that hold a word. Chunks longer than LONGEST lines are cut, by the same rule.
 Units overlap: a line goes if any of the units that cover it does. Each line that goes has an equal line at an earlier place, so the first stays;
@@ -16,7 +16,9 @@ A passage that a third of all documents share costs one row a document and unit,
 merged at every size, since the lists grow with the documents.
 
 Defined cases: null text stays null (no lines); empty text has one blank line and is kept. Rows with a null or a repeated doc_id are told apart
-by a row key of id and text hash; exact repeats of a row stay repeated rows with equal treatment, as one document. Extra columns pass.
+by a row key of id and text hash; exact repeats of a row stay repeated rows with equal treatment, as one document. Of equal units the one of
+the least (id, null last; text hash; place) stays. Blank lines behind a text's last words go only with a chunk that repeats with them. A very long
+text is cut, hashed and rebuilt by itself in one worker, in memory in proportion to it. An empty table gives an empty one. Extra columns pass.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import Scratch
+from quarry.llm.common import Scratch, pieces
 
 WINDOW, EVERY, LEAST, LONGEST = 2, 4, 2, 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -66,12 +68,16 @@ def chunks(text: bytes) -> tuple[list[int], list[int], list[int], int]:
     start, ends = (end[first] - size[first])[ok].tolist(), np.minimum(end[cut], len(text))[ok].tolist()
     at = np.nonzero(word)[0]
     low, high = at[: max(0, len(at) - LEAST + 1)], at[LEAST - 1 :]
-    chunk = {a: len(text[a:b].rstrip(b"\n")) for a, b in zip(start, ends)}
+    chunk = {a: len(body(text, a, b)) for a, b in zip(start, ends)}
     seams = zip((end[low] - size[low]).tolist(), np.minimum(end[high], len(text)).tolist())
-    units = sorted([*zip(start, ends), *((a, b) for a, b in seams if chunk.get(a) != len(text[a:b].rstrip(b"\n")))])
+    units = sorted([*zip(start, ends), *((a, b) for a, b in seams if chunk.get(a) != len(body(text, a, b)))])
     start, ends = [a for a, _ in units], [b for _, b in units]
-    # a last unit's bytes lack the line's end: hashed and compared without it everywhere
-    return start, ends, [xxhash.xxh64_intdigest(text[a:b].rstrip(b"\n")) for a, b in zip(start, ends)], n
+    return start, ends, [xxhash.xxh64_intdigest(body(text, a, b)) for a, b in zip(start, ends)], n
+
+
+def body(text: bytes, start: int, end: int) -> bytes:
+    """A unit without the end of its last line, which the last line of a text lacks: what is hashed and compared."""
+    return text[start : end - 1] if text.endswith(b"\n", start, end) else text[start:end]
 
 
 def place(start: int, end: int) -> int:
@@ -84,7 +90,7 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text")).filter("text is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 2):
             ids, hs, out = b.column(0).to_pylist(), b.column(1).to_pylist(), ([], [], [], [])
             for i, h, t in zip(ids, hs, b.column(2).to_pylist()):
                 start, ends, got, _ = chunks(t.encode("utf-8", "surrogatepass"))
@@ -92,16 +98,20 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(np.array(out[3], np.uint64).view(np.int64))], ["id", "h", "at", "k"])
 
     all_ = scratch.cut(rows.mapInArrow(cut, "id long, h long, at long, k long"), "chunks")
-    # copies of a row are one document: its units don't repeat themselves
-    often = all_.groupBy("k").agg(F.min(F.struct("id", "h", "at")).alias("a"), F.max(F.struct("id", "h", "at")).alias("b")).filter("a <> b").select("k")
+    # two different places, of which copies of a row are one: by minima and maxima of numbers, which partitions combine before the shuffle
+    ends = [f(c).alias(f"{c}_{n}") for c in ("id", "h", "at") for n, f in (("low", F.min), ("high", F.max))]
+    several = "id_low <> id_high or (id_n > 0 and id_n < n) or h_low <> h_high or at_low <> at_high"
+    # written, so that the join may split a hash that very many documents have
+    often = scratch.cut(all_.groupBy("k").agg(*ends, F.count("id").alias("id_n"), F.count(F.lit(1)).alias("n")).filter(several).select("k"), "often")
     marked = scratch.cut(all_.join(often, "k").groupBy("id", "h").agg(F.collect_set("at").alias("at")), "marked")
+    scratch.drop("chunks", "often")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             out = []
             for i, h, t, at in zip(*(b.column(c).to_pylist() for c in ("id", "h", "text", "at"))):
                 raw, want = t.encode("utf-8", "surrogatepass"), set(at)
-                out += [(i, h, place(s, e), raw[s:e].rstrip(b"\n")) for s, e in zip(*chunks(raw)[:2]) if place(s, e) in want]
+                out += [(i, h, place(s, e), body(raw, s, e)) for s, e in zip(*chunks(raw)[:2]) if place(s, e) in want]
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["id", "h", "at", "bytes"])
 
@@ -110,8 +120,11 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.cut(texts.mapInArrow(pick, "id long, h long, at long, bytes binary").distinct(), "found")
     # null ids sort last: a document with an id is the first
     where = F.struct(F.col("id").isNull().alias("z"), "id", "h", "at")
-    first = found.groupBy("bytes").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bytes", "first")
-    return found.join(first, "bytes").filter(where != F.col("first")).groupBy("id", "h").agg(F.collect_list("at").alias("cut"))
+    first = scratch.cut(found.groupBy("bytes").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bytes", "first"), "first")
+    scratch.drop("marked")
+    gone = scratch.cut(found.join(first, "bytes").filter(where != F.col("first")).groupBy("id", "h").agg(F.collect_list("at").alias("cut")), "gone")
+    scratch.drop("found", "first")
+    return gone
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -124,7 +137,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     joined = rows.join(gone.hint("merge"), F.expr("doc_id <=> id and hash = h"), "left").select("row", "text", "cut")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             texts, total, removed = [], [], []
             for t, cut in zip(b.column("text").to_pylist(), b.column("cut").to_pylist()):
                 n = 0 if t is None else t.count("\n") + 1

@@ -3,26 +3,27 @@ import random
 from quarry.llm import line_dedup as L
 
 
+def seams(text):
+    """(first line, last line, text) of each two lines with words that have at most blank lines between them."""
+    lines = text.split("\n")
+    words = [k for k, x in enumerate(lines) if x.strip()]
+    return [(a, b, "\n".join(lines[a : b + 1])) for a, b in zip(words, words[1:])]
+
+
 def brute(rows):
-    """Texts after removal, by (id, text): all chunks, grouped by bytes, all but the first place removed."""
-    seen = {}
-    for i, t in set(rows):
-        if t is not None:
-            raw = t.encode()
-            for s, e in zip(*L.chunks(raw)[:2]):
-                seen.setdefault(raw[s:e].rstrip(b"\n"), []).append((i is None, i if i is not None else 0, t, s, e))
+    """Lines with words that are left, by (id, text), without the operator's own cutting: a line goes if two lines with it in them came before."""
+    first = {}
+    order = lambda i, t: (i is None, i or 0, t)
+    for i, t in sorted({r for r in rows if r[1] is not None}, key=lambda r: order(*r)):
+        for a, _, s in seams(t):
+            first.setdefault(s, (i, t, a))
     out = {}
     for i, t in set(rows):
         if t is None:
             out[i, t] = None
             continue
-        raw, kept, low = t.encode(), [], 0
-        for s, e in zip(*L.chunks(raw)[:2]):
-            same = sorted(seen[raw[s:e].rstrip(b"\n")])
-            if len(same) > 1 and same[0][:4] != (i is None, i if i is not None else 0, t, s):
-                kept.append(raw[low:s])
-                low = e
-        out[i, t] = b"".join([*kept, raw[low:]]).decode()
+        gone = {k for a, b, s in seams(t) if first[s] != (i, t, a) for k in range(a, b + 1)}
+        out[i, t] = [x for k, x in enumerate(t.split("\n")) if x.strip() and k not in gone]
     return out
 
 
@@ -41,7 +42,8 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id long, text string, line_key string, n_lines int").repartition(3)
     got = L.cleaned(df).collect()
     want = brute(rows)
-    assert sorted(map(str, (r.text for r in got))) == sorted(map(str, (want[k] for k in rows)))
+    left = lambda t: None if t is None else [x for x in t.split("\n") if x.strip()]
+    assert sorted(str((r.doc_id, left(r.text))) for r in got) == sorted(str((k[0], want[k])) for k in rows)
     lost = sum(r.line_removed for r in got)
     assert lost > 300
     for r in got:
@@ -81,3 +83,16 @@ def test_whole_passages_go(spark):
 def test_one_line_repeats_stay(spark):
     rows = [(i, f"own line {i}\nshared line\nother line {i}") for i in range(9)]
     assert {r.line_removed for r in L.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
+def test_blank_lines_of_its_own_stay(spark):
+    rows = [(1, "w1 x\nw2 y"), (2, "w1 x\nw2 y\n\n\n\n"), (3, "w1 x\nw2 y\n"), (4, "\n\nw1 x\nw2 y\nz")]
+    got = {r.doc_id: (r.text, r.line_removed) for r in L.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n\n\n", 2), 3: ("", 2), 4: ("\n\nz", 2)}
+
+
+def test_very_long_text(spark):
+    lines = [f"line {i} of {i * i}" for i in range(60_000)]
+    rows = [(1, "\n".join(lines)), (2, "own line\n" + "\n".join(lines[100:40_000]) + "\nits last"), (3, "x " * 2_000_000)]
+    got = {r.doc_id: (r.text, r.line_removed) for r in L.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("own line\nits last", 39_900), 3: (rows[2][1], 0)}
