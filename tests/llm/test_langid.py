@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -55,4 +57,81 @@ def test_temperature_mends_overconfidence():
     y = rng.integers(0, 3, 3000)
     logits = rng.normal(size=(3000, 3))
     logits[np.arange(3000), y] += 1
-    assert 3.5 < G.temperature(logits * 5, y) < 7
+    assert 3.5 < G.temperature(logits * 5, np.eye(3)[y]) < 7
+    # certainty is never called for, however few the rows: without an error the loss is least at a finite temperature
+    for n in (1, 5, 200):
+        sure = np.eye(3)[y[:n]] * 4
+        p = np.exp(sure / G.temperature(sure, G.smoothed(y[:n], 3)))
+        p = (p / p.sum(axis=1, keepdims=True)).max(axis=1).mean()
+        assert abs(p - (n + 1) / (n + 2)) < 0.02
+    assert np.allclose(G.smoothed(y, 3).sum(axis=1), 1) and (G.smoothed(np.zeros(4, int), 1) == 1).all() and G.temperature(np.zeros((0, 2)), np.zeros((0, 2))) == 1
+
+
+def plain_features(text, df, n):
+    """Dense TF-IDF by Python's own counting."""
+    grams = Counter(text.lower()[i : i + k] for k in (1, 2, 3) for i in range(len(text.lower()) - k + 1))
+    x = np.zeros(G.DIM)
+    tf = Counter()
+    for g, c in grams.items():
+        tf[slot(g)] += c
+    for s, c in tf.items():
+        x[s] = (1 + math.log(c)) * (math.log((1 + n) / (1 + df[s])) + 1)
+    return x / np.linalg.norm(x)
+
+
+def slot(gram):
+    h = 0
+    for c in gram:
+        h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+    return ((h + len(gram)) * 0x9E3779B1 & 0xFFFFFFFF) >> 18
+
+
+def plain_ftrl(xs, ys, classes, order):
+    """FTRL-proximal as its authors state it, a weight at a time, on dense vectors with a bias that isn't penalised."""
+    dim = xs.shape[1] + 1
+    z, n = np.zeros((dim, classes)), np.zeros((dim, classes))
+
+    def weight():
+        l1, l2 = np.append(np.full(dim - 1, G.L1), 0)[:, None], np.append(np.full(dim - 1, G.L2), 0)[:, None]
+        return np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((G.BETA + np.sqrt(n)) / G.ALPHA + l2))
+
+    for r in order:
+        x = np.append(xs[r], 1.0)
+        w = weight()
+        p = np.exp(x @ w - (x @ w).max())
+        p /= p.sum()
+        g = np.outer(x, p - np.eye(classes)[ys[r]])
+        sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / G.ALPHA
+        z += g - sigma * w
+        n += g * g
+    return weight()
+
+
+def test_features_and_weights_against_plain_ones(monkeypatch):
+    monkeypatch.setattr(G, "EPOCHS", 2)
+    texts = ["abc abd", "Äbc", "the ing", "ein sch ung", "abab", "x"]
+    df = np.zeros(G.DIM, int)
+    for t in texts:
+        for s in {slot(t.lower()[i : i + k]) for k in (1, 2, 3) for i in range(len(t) - k + 1)}:
+            df[s] += 1
+    idf = np.log((1 + len(texts)) / (1 + df)) + 1
+    dense = np.stack([plain_features(t, df, len(texts)) for t in texts])
+    rows, ys = [], [0, 1, 0, 1, 0, 1]
+    for t, d, y in zip(texts, dense, ys):
+        at, x = G.features(t, idf)
+        assert (at == np.nonzero(d)[0]).all() and np.allclose(x, d[at])
+        rows.append((at, x, y))
+    rng = np.random.default_rng(7)
+    order = [int(r) for _ in range(2) for r in rng.permutation(len(rows))]
+    assert np.allclose(G.ftrl(rows, 2), plain_ftrl(dense, ys, 2, order))
+
+
+def test_calibration_on_held_out(spark):
+    """With labels of which a tenth are wrong, scores say so: their mean is near the share of hits."""
+    rng = random.Random(3)
+    wrong = [(i, t, rng.choice(list(SYL)) if rng.random() < 0.15 else lang, s) for i, t, lang, s in ((r.doc_id, r.text, r.lang, r.score) for r in docs(spark, 1500).filter("doc_id < 1000").collect())]
+    df = spark.createDataFrame(wrong, "doc_id long, text string, lang string, score double")
+    truth = {r[0]: r[2] for r in wrong}
+    got = [r for r in G.query(df).collect() if r.held_out]
+    hits = sum(r.lang_pred == truth[r.doc_id] for r in got) / len(got)
+    assert abs(sum(r.score for r in got) / len(got) - hits) < 0.08 and hits > 0.8
