@@ -37,8 +37,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the session's checkpoint folder, or one of this process's own where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the folder that was set for checkpoints. Where neither is, a local
+    session gets one of its own, for all its engines; a cluster has no folder that could be guessed, so it is an error there."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told:
+        sc = spark.sparkContext
+        own = sc._jsc.sc().getCheckpointDir()
+        if own.isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+            own = sc._jsc.sc().getCheckpointDir()
+        told = own.get()
+    return told.rstrip("/")
 
 
 def type_of(v: Any) -> T.DataType:
