@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -15,30 +12,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import shared_dir
+
 #: Words of the contracts: runs of bytes that are neither blank nor a control blank (x20, x09-x0D), as bytes.split() cuts them.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents whose crc32 leaves this remainder are held out of all training.
 FOLDS = 5
 #: Text bytes that a Python worker turns into objects at once.
 BATCH_BYTES = 8 << 20
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of this process's own only where that is unset."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jsc.isDefined():
-            return jsc.get()
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return told
-
-
 class Scratch:
     """Tables written once to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation.
 
@@ -46,23 +34,22 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/quarry-{what}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, f"{shared_dir(spark)}/quarry-{what}-{uuid.uuid4().hex[:12]}"
 
     def cut(self, df: DataFrame, name: str, *by: str) -> DataFrame:
-        """by: columns whose values get folders of their own."""
-        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{self.root}/{name}")
+        """by: columns whose values get folders of their own. The write's shuffles go with it: what follows reads the table."""
+        was = self.spark.conf.get(_CLEAN)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(_CLEAN, was)
         return self.again(df.schema, name)
 
     def again(self, schema, name: str) -> DataFrame:
         """What is left of a table that was cut."""
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
-    def free(self) -> None:
-        """Lets go of the shuffle files of plans that are no longer held: they go with the driver's garbage, which a quiet driver collects late."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-        time.sleep(0.3)
-
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

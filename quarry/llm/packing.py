@@ -12,7 +12,8 @@ words); texts with rare or non-Latin-1 characters, runs of blanks or special tok
 
 sequence_id holds the partition's number above 33 bits and a count below. The layout depends on the order and the split of the input, which
 are the same for every run over the same files. Defined cases: null text is empty; an empty document is its end id alone. Repeated rows
-and null ids are packed like any others. Extra columns are ignored.
+and null ids are packed like any others. Of cuts that cost the same the earliest start wins. A very long text is encoded whole and cut like any
+other; its ids are held at once, 4 bytes each. An empty table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import pieces
+
 LENGTH, END, SENTENCE, SHORT, CUT, FILL, BLOCK, CACHE = 2048, 1, 12, 16, 96, 128, 1 << 20, 300_000
 #: Byte-level BPE's pattern, for texts in which blanks stand alone: its rule for runs of blanks isn't needed there.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
@@ -196,7 +199,7 @@ def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             cols = list(zip(*rows)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 7 else pa.binary()) for i, c in enumerate(cols)], names)
 
-        for b in batches:
+        for b in pieces(batches, 1):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = np.append(encode(text) if text else np.zeros(0, np.uint32), np.uint32(END))
                 held.append((doc, len(ids), 0, ids))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import common
-from quarry.llm.common import Scratch, components, forest
+from quarry.llm.common import Scratch, components, forest, pieces
 
 MOST = 3
 #: Fixed values of the code: generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, and the bits of each segment.
@@ -134,7 +134,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) with fp as signed long, a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             got = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], ["doc_id", "fp"])
 

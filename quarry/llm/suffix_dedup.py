@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, buckets
+from quarry.llm.common import Scratch, buckets, pieces
 
 LENGTH, GRAM, BLOCK = 50, 19, 8
 WIDE = LENGTH - GRAM + 1
@@ -317,7 +317,7 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     tail = ["kept", "starts", "ends"] * with_kept
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             rid, all_, count = b.column(0).to_pylist(), [], []
             for t in b.column(1).to_pylist():
                 raw = t.encode("utf-8", "surrogatepass")
@@ -334,7 +334,7 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A batch's documents of each group in one row, compressed before they are dealt out."""
-        for b in batches:
+        for b in pieces(batches, "text"):
             doc, raw = b.column("doc_id"), [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             cols = [doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), b.column("rid").to_numpy(zero_copy_only=False), np.array(list(map(len, raw)), np.int64), np.arange(len(raw))]
             out = []
@@ -505,18 +505,13 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
 
     posts = rows.select("rid", "text").mapInArrow(post, "b int, h binary, rid binary, n binary")
     told = scratch.cut(posts.groupBy("b").applyInArrow(shared, "d int, h binary, rid binary, n binary, b long"), "shared")
-    del posts
-    scratch.free()
     schema = "kind int, k int, id long, n long, sha string, x binary, y binary, z binary, w binary, v binary"
     texts = rows.mapInArrow(bundle, "d int, ids binary, none binary, rids binary, sizes binary, x binary")
     mid = scratch.cut(texts.groupBy("d").cogroup(told.groupBy("d")).applyInArrow(cut, schema), "contexts", "kind")
-    del told, texts
     scratch.drop("shared")
-    scratch.free()
     first = scratch.cut(mid.filter("kind = 2").groupBy("k").applyInArrow(settle, "d int, key binary, first binary, n binary"), "first")
     scratch.drop("contexts/kind=2")  # the contexts are settled: only documents are still read
     mid = scratch.again(mid.schema, "contexts")
-    scratch.free()
     ends = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, starts array<long>, ends array<long>" * with_kept
     some = mid.filter("kind = 1").groupBy("k").cogroup(first.groupBy("d")).applyInArrow(remove, ends)
     none = mid.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), *([F.col("x").alias("kept"), F.array().cast("array<long>").alias("starts"), F.array().cast("array<long>").alias("ends")] * with_kept))
