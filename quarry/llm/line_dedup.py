@@ -98,11 +98,10 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(np.array(out[3], np.uint64).view(np.int64))], ["id", "h", "at", "k"])
 
     all_ = scratch.cut(rows.mapInArrow(cut, "id long, h long, at long, k long"), "chunks")
-    # two different places, of which copies of a row are one: by minima and maxima of numbers, which partitions combine before the shuffle
-    ends = [f(c).alias(f"{c}_{n}") for c in ("id", "h", "at") for n, f in (("low", F.min), ("high", F.max))]
-    several = "id_low <> id_high or (id_n > 0 and id_n < n) or h_low <> h_high or at_low <> at_high"
+    # places that differ, of which copies of a row are one: by the ends of a hash of the place, which partitions combine before the shuffle
+    place_ = F.xxhash64("id", "h", "at")
     # written, so that the join may split a hash that very many documents have
-    often = scratch.cut(all_.groupBy("k").agg(*ends, F.count("id").alias("id_n"), F.count(F.lit(1)).alias("n")).filter(several).select("k"), "often")
+    often = scratch.cut(all_.groupBy("k").agg(F.min(place_).alias("a"), F.max(place_).alias("b")).filter("a <> b").select("k"), "often")
     marked = scratch.cut(all_.join(often, "k").groupBy("id", "h").agg(F.collect_set("at").alias("at")), "marked")
     scratch.drop("chunks", "often")
 
