@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -128,7 +129,17 @@ def _floor_divide(a: Expr, b: Expr) -> Column:
         y = F.nullif(y, F.lit(0))
         rest = x % y
         return F.call_function("div", x - rest, y) - F.when((rest != 0) & ((x < 0) != (y < 0)), 1).otherwise(0)
-    return F.floor(F.try_divide(x.cast("double"), y.cast("double"))).cast("double")
+    # by the remainder, as the quotient alone may be rounded up to a whole number; what isn't finite stays so
+    x, y = x.cast("double"), F.nullif(y.cast("double"), F.lit(0.0))
+    rest = x % y
+    return F.rint((x - rest) / y - F.when((rest != 0) & ((y < 0) != (rest < 0)), 1.0).otherwise(0.0))
+
+
+def _among(a: Expr, values: tuple[Expr, ...]) -> Column:
+    """Literals as one set, other expressions one by one."""
+    known, others = [v.args[0] for v in values if v.op == "lit"], [v for v in values if v.op != "lit"]
+    tests = ([to_column(a).isin(*known)] if known or not others else []) + [to_column(a) == to_column(v) for v in others]
+    return reduce(lambda x, y: x | y, tests)
 
 
 _BUILD: dict[str, Callable[..., Column]] = {
@@ -148,7 +159,7 @@ _BUILD: dict[str, Callable[..., Column]] = {
     "==": lambda a, b: to_column(a) == to_column(b),
     "!=": lambda a, b: to_column(a) != to_column(b),
     "between": lambda a, low, high: to_column(a).between(to_column(low), to_column(high)),
-    "isin": lambda a, *values: to_column(a).isin(*[v.args[0] for v in values]),
+    "isin": lambda a, *values: _among(a, values),
     "isNull": lambda a: to_column(a).isNull(),
     "startswith": lambda a, b: to_column(a).startswith(to_column(b)),
     "endswith": lambda a, b: to_column(a).endswith(to_column(b)),

@@ -133,8 +133,9 @@ class Frame:
 
         return Pending(self.df, lambda df: sinks.parquet(df, path))
 
-    def toTable(self, tables, name: str, partition_cols: list[str] | None = None, categorical_cols: list[str] | None = None) -> Pending:
-        return Pending(self.df, lambda df: tables.write(df, name, partition_cols or [], categorical_cols or []))
+    def toTable(self, tables, name: str, partition_cols: list[str] | None = None, categorical_cols: list[str] | None = None, index_cols: list[str] | None = None) -> Pending:
+        """index_cols: columns whose indexes are built now; those of the others are built when a filter first asks for them."""
+        return Pending(self.df, lambda df: tables.write(df, name, partition_cols or [], categorical_cols or [], index_cols or []))
 
     def explain(self) -> Report:
         return Report(self.df)

@@ -51,8 +51,15 @@ query("filter_andor", "select l_orderkey, l_quantity from lineitem where (l_quan
     lambda e, t: (x := t("lineitem")).filter(((x["l_quantity"] > 45) & (x["l_discount"] <= 0.02)) | (x["l_tax"] >= 0.08)).select("l_orderkey", "l_quantity").df
 )
 query("less", "select l_orderkey from lineitem where l_quantity < 3")(lambda e, t: (x := t("lineitem")).filter(x["l_quantity"] < 3).select("l_orderkey").df)
-query("sample", None)(lambda e, t: t("lineitem").sample("l_quantity", 0.1, 7).df)
-query("parallelize", "select cast(x as bigint) x, y from (values (1, 'a'), (2, 'b')) t(x, y)")(lambda e, t: e.parallelize([{"x": 1, "y": "a"}, {"x": 2, "y": "b", "z": 0}]).toDF().df)
+
+
+@query("sample", "select true of_the_table, true about_a_tenth")
+def sample(e, t):
+    """A sample differs from run to run of other engines; what it must hold is that its values occur, about as often as asked."""
+    x = t("lineitem")
+    both = x.sample("l_quantity", 0.1, 7).df.withColumn("drawn", F.lit(1)).unionByName(x.df.select("l_quantity", F.lit(0).alias("drawn")))
+    by = both.groupBy("l_quantity").agg(F.sum("drawn").alias("n"), F.sum(1 - F.col("drawn")).alias("m"))
+    return by.agg((F.min("m") > 0).alias("of_the_table"), (F.abs(F.sum("n") / F.sum("m") - 0.1) < 0.02).alias("about_a_tenth"))
 
 
 @query("arith", "select l_orderkey, l_linenumber, l_linenumber + l_orderkey a, l_orderkey - l_linenumber b, cast(l_linenumber as bigint) * 2 m from lineitem")
@@ -187,7 +194,73 @@ def tables_list(e, t):
     return e.spark.createDataFrame([(n,) for n in e.tables.list()], "table_name string")
 
 
-@query("file_stats", None)
+@query("file_stats", "select 'rows' as name, count(*) as value from nation union all select 'sample_rows', least(100, count(*)) from nation union all select 'files', 1 union all select 'sized', 1")
 def file_stats(e, t):
-    t("nation").toParquet(f"{e.tables.root}/stats").execute()
-    return e.spark.createDataFrame([(k, v) for k, v in e.stats(f"{e.tables.root}/stats").items()], "name string, value long")
+    Frame(t("nation").df.coalesce(1)).toParquet(f"{e.tables.root}/stats").execute()
+    told = e.stats(f"{e.tables.root}/stats")
+    sized = int(told["bytes"] > 0 and told["chunks"] > 0 and told["average_row"] > 0 and told["sample_bytes"] > 0)
+    return e.spark.createDataFrame([("rows", told["rows"]), ("sample_rows", told["sample_rows"]), ("files", told["files"]), ("sized", sized)], "name string, value long")
+
+
+@query("floordiv_edge", "select o_orderkey, floor(-o_totalprice / 3) q, 1e300 big, 'NaN'::double nan, null::double zero from orders")
+def floordiv_edge(e, t):
+    o = t("orders")
+    big, nan = Frame(o.df.withColumn("huge", F.lit(1e300)).withColumn("nan", F.lit(float("nan")))), "nan"
+    f = big.withColumn("q", big["o_totalprice"] * -1 // 3).withColumn("big", big["huge"] // 1).withColumn("zero", big["o_totalprice"] // 0).withColumn("nan", big[nan] // 7)
+    return f.select("o_orderkey", "q", "big", "nan", "zero").df
+
+
+@query("rid_count_stale", "select 2 * count(*) n from lineitem where l_quantity > 49")
+def rid_count_stale(e, t):
+    _table(e, t, index_cols=["l_quantity"])
+    table = e.tables.get("lineitem")
+    t("lineitem").df.write.mode("append").parquet(f"{table.at}/data")
+    table = e.tables.get("lineitem")
+    return table.rid_count(table.toDF()["l_quantity"] > 49)
+
+
+@query("index_columns", "select l_quantity, l_tax from lineitem where l_quantity > 48 and l_tax < 0.02")
+def index_columns(e, t):
+    f = _table(e, t)
+    return e.tables.get("lineitem").rids((f["l_quantity"] > 48) & (f["l_tax"] < 0.02), columns=True).select("l_quantity", "l_tax")
+
+
+@query("scan_partitioned", "select n_nationkey, n_name, n_regionkey from nation where n_regionkey = 2")
+def scan_partitioned(e, t):
+    t("nation").df.write.mode("overwrite").partitionBy("n_regionkey").parquet(f"{e.tables.root}/parts")
+    f = e.parquet(f"{e.tables.root}/parts").toDF()
+    return f.filter(f["n_regionkey"] == 2).select("n_nationkey", "n_name", "n_regionkey").df
+
+
+@query("sort_asc", "select o_orderkey, o_totalprice, row_number() over (order by o_totalprice nulls last, o_orderkey desc nulls last) pos from orders")
+def sort_asc(e, t):
+    o = t("orders").select("o_orderkey", "o_totalprice")
+    return _numbered(o.sort(o["o_totalprice"].asc(), o["o_orderkey"].desc()))
+
+
+@query("isin_columns", "select l_orderkey, l_linenumber from lineitem where l_linenumber in (l_suppkey, l_partkey, 3)")
+def isin_columns(e, t):
+    x = t("lineitem")
+    return x.filter(x["l_linenumber"].isin([x["l_suppkey"], x["l_partkey"], 3])).select("l_orderkey", "l_linenumber").df
+
+
+@query("map_batches", "select s_suppkey, s_acctbal * 2 twice from supplier")
+def map_batches(e, t):
+    def double(batches):
+        for b in batches:
+            yield b.assign(twice=b["s_acctbal"] * 2)[["s_suppkey", "twice"]]
+
+    return t("supplier").map_batches(double, "s_suppkey long, twice double").df
+
+
+@query("path_glob", "select r_regionkey, r_name from region")
+def path_glob(e, t):
+    t("region").toParquet(f"{e.tables.root}/some-region").execute()
+    t("nation").toParquet(f"{e.tables.root}/other").execute()
+    return e.parquet(f"{e.tables.root}/some-*/*.parquet").toDF().select("r_regionkey", "r_name").df
+
+
+@query("collect", "select r_regionkey, r_name from region")
+def collect(e, t):
+    rows = t("region").select("r_regionkey", "r_name").collect().execute()
+    return e.parallelize(rows, "r_regionkey int, r_name string").toDF().df

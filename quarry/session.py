@@ -101,8 +101,10 @@ class Engine:
         return Dataset(df, lambda: df.rdd.map(lambda r: r[0]))
 
     def parquet(self, path: str) -> Dataset:
-        files.expand(self.spark, path)
+        """A file, a glob or a folder, with partition folders (column=value) below it or not."""
+        files.expand(self.spark, path, deep=True)
         return Dataset(self.spark.read.parquet(path))
 
-    def stats(self, path: str) -> dict[str, int]:
-        return files.stats(self.spark, path)
+    def stats(self, path: str, kind: str = "parquet") -> dict[str, int]:
+        """kind: parquet, text or csv."""
+        return files.stats(self.spark, path, kind)
