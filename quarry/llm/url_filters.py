@@ -4,13 +4,15 @@ Hosts are written backwards, label by label, each followed by a dot (``net.examp
 the interval of keys that begin with it. Such intervals nest or lie apart. URLs are sorted by key within ranges; a sweep in key order keeps
 a stack of the rules whose intervals are open, and asks those from the longest rule down whether the URL's path begins with theirs.
 
-Ranges are cut at quantiles of the keys with a salt from page_id behind them, so one host may span many ranges (a hot host doesn't gather
-in one task). Rules go to every range that their interval touches, by a join on the range's number: nothing is broadcast but the cuts
-(CUTS at most) and no range holds more than its share of rows.
+Ranges are cut at quantiles of the keys with a salt of the row behind them, so one host may span many ranges (a hot host doesn't gather
+in one task). At most CUTS cuts are broadcast; where that makes ranges of more than ROWS rows, each is dealt into as many parts as it takes, by
+the salt, and every part is swept by itself, so parts hold about ROWS rows at any size. Rules go to every part of every range that their
+interval touches, by a join on the part's number.
 
 Defined cases: a null url, or one without ``://``, has host and path empty and gets the default verdict. Dots at a host's end and empty labels
 count as labels; ports and user names belong to the host as the contract cuts it. The longest rule (host and path together) wins; a tie
-goes to the longer host, then to block. A rule given twice counts once. Null ids and repeated rows keep their rows. Extra columns are ignored.
+goes to the longer host, then to block. A rule given twice counts once. Null ids and repeated rows keep their rows, and are spread like others.
+Very long urls are compared whole. An empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,22 +74,24 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     host, path = parts(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     reverse = lambda h: F.when(h == "", "").otherwise(F.concat(F.concat_ws(".", F.reverse(F.split(h, r"\."))), F.lit(".")))
-    # the salt sorts after the key's last dot: a key's rows stay together, spread by id
-    rows = rows.withColumn("key", reverse(F.col("host"))).withColumn("salted", F.concat("key", F.lit("\x00"), F.lower(F.lpad(F.hex(F.xxhash64("page_id")), 16, "0"))))
+    # the salt sorts after the key's last dot: a key's rows stay together, spread by id and place, so that repeated rows are spread too
+    rows = rows.withColumn("key", reverse(F.col("host"))).withColumn("salt", F.xxhash64("page_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("salted", F.concat("key", F.lit("\x00"), F.lower(F.lpad(F.hex("salt"), 16, "0"))))
     n = rows.count()
     # a range for each ROWS rows, and no fewer than the session deals out, if they get a few dozen rows each
     wanted = min(CUTS, max(n // ROWS + 1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 50 + 1)))
+    parts_ = max(1, -(-n // (wanted * ROWS)))
     cuts: list[str] = []
     if wanted > 1:
-        sample = rows.filter(F.pmod(F.xxhash64("page_id", F.lit("cuts")), F.lit(1 << 20)) < min(1.0, 64 * wanted / n) * float(1 << 20))
+        sample = rows.filter(F.pmod(F.xxhash64("salt"), F.lit(1 << 20)) < min(1.0, 64 * wanted / n) * float(1 << 20))
         keys = sorted(r.salted for r in sample.select("salted").limit(256 * CUTS).collect())
         cuts = sorted({keys[i * len(keys) // wanted] for i in range(1, wanted)}) if keys else []
     shared = spark.sparkContext.broadcast(cuts)
 
     def place(batches):
         for b in batches:
-            at = [bisect_right(shared.value, s) for s in b.column("salted").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "key")), pa.array(at, pa.int32())], ["page_id", "host", "path", "key", "range"])
+            at = [bisect_right(shared.value, s) * parts_ + i % parts_ for s, i in zip(b.column("salted").to_pylist(), b.column("salt").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "key")), pa.array(at, pa.int64())], ["page_id", "host", "path", "key", "range"])
 
     def spread(batches):
         for b in batches:
@@ -97,16 +101,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
                 k = key_of(host)
                 # the interval of keys that begin with k; code points above the salt's end it
                 lo, hi = bisect_right(shared.value, k), bisect_right(shared.value, k + "\U0010ffff")
-                got += [(i, k, "/" + path, rule, verdict) for i in range(lo, hi + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int32() if i == 0 else pa.string()) for i in range(5)], ["range", "key", "path", "rule", "verdict"])
+                got += [(i, k, "/" + path, rule, verdict) for i in range(lo * parts_, (hi + 1) * parts_)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64() if i == 0 else pa.string()) for i in range(5)], ["range", "key", "path", "rule", "verdict"])
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         a = a.sort_by("key")  # by code points, as Python compares
         got = sweep(list(zip(a.column("key").to_pylist(), a.column("path").to_pylist())), list(zip(*(b.column(c).to_pylist() for c in ("key", "path", "rule", "verdict")))))
         return pa.table({"page_id": a.column("page_id"), "host": a.column("host"), "path": a.column("path"), "rule": pa.array([g[0] for g in got], pa.string()), "verdict": pa.array([g[1] or default for g in got], pa.string())})
 
-    left = rows.mapInArrow(place, "page_id long, host string, path string, key string, range int")
-    right = rules.select("verdict", "rule").filter("rule is not null").mapInArrow(spread, "range int, key string, path string, rule string, verdict string")
+    left = rows.mapInArrow(place, "page_id long, host string, path string, key string, range long")
+    right = rules.select("verdict", "rule").filter("rule is not null").mapInArrow(spread, "range long, key string, path string, rule string, verdict string")
     return left.groupBy("range").cogroup(right.groupBy("range")).applyInArrow(run, "page_id long, host string, path string, rule string, verdict string")
 
 

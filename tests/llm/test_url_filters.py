@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import pytest
 
 from quarry.llm import url_filters as U
 
@@ -37,14 +38,16 @@ def test_query_and_sql(spark, tmp_path):
     assert all(sql[r[0]] == r for r in got if urls[r[0]] is not None)
 
 
-def test_many_nested_rules_over_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("most", [4096, 3])  # ranges as many as it takes, and few, each in parts
+def test_many_nested_rules_over_ranges(spark, monkeypatch, most):
     monkeypatch.setattr(U, "ROWS", 100)
+    monkeypatch.setattr(U, "CUTS", most)
     rng = random.Random(4)
     label = lambda: rng.choice("abc")
     rules = [(rng.choice(["block", "allow"]), ".".join(label() for _ in range(rng.randint(1, 4))) + rng.choice(["/", "/x", "/x/", "/xy/", "/x/y/"])) for _ in range(150)]
     rules = list({r: v for v, r in rules}.items())
     rules = [(v, r) for r, v in rules]
-    urls = [f"http://{'.'.join(label() for _ in range(rng.randint(1, 5)))}{rng.choice(['', '/', '/x', '/x/y/z', '/xy/', '/q'])}" for _ in range(600)] + ["http://hot.a/x/1"] * 600
+    urls = [f"http://{'.'.join(label() for _ in range(rng.randint(1, 5)))}{rng.choice(['', '/', '/x', '/x/y/z', '/xy/', '/q'])}" for _ in range(600)] + ["http://hot.a/x/1"] * 600 + ["http://" + "a." * 3000 + "b/" + "x/y" * 50_000]
     got = sorted(tuple(r) for r in U.judge(pages(spark, urls), spark.createDataFrame(rules, "verdict string, rule string")).collect())
     assert got == [(i, *brute(u, rules)) for i, u in enumerate(urls)]
 
