@@ -37,6 +37,8 @@ LENGTH, GRAM, BLOCK = 50, 19, 8
 WIDE = LENGTH - GRAM + 1
 #: Text bytes in a group of documents, in one of its rows (longer if a document is) or behind a bucket of anchors; contexts in a shard; null ids.
 GROUP_BYTES, PIECE_BYTES, BUCKET_BYTES, SHARD, LAST = 4 << 20, 1 << 19, 32 << 20, 1 << 12, (1 << 63) - 1
+#: Text bytes that are dealt out at once: the more, the better they compress.
+DEALT = 32 << 20
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -317,7 +319,7 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     tail = ["kept", "starts", "ends"] * with_kept
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1):
+        for b in pieces(batches, 1, most=DEALT):
             rid, all_, count = b.column(0).to_pylist(), [], []
             for t in b.column(1).to_pylist():
                 raw = t.encode("utf-8", "surrogatepass")
@@ -334,7 +336,7 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A batch's documents of each group in one row, compressed before they are dealt out."""
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", most=DEALT):
             doc, raw = b.column("doc_id"), [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             cols = [doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), b.column("rid").to_numpy(zero_copy_only=False), np.array(list(map(len, raw)), np.int64), np.arange(len(raw))]
             out = []
