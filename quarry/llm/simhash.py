@@ -3,11 +3,15 @@
 A fingerprint has 64 bits: bit i is 1 if more than half of the shingles' XXH64 values (seed 42) have bit i set. Fingerprints link at
 MOST or fewer differing bits; documents' components are those of the links.
 
-Candidates come from the perfect binary Golay code (23, 12, 7). The fingerprint is cut in three segments of 22, 21 and 21 bits. With three
-differing bits at most, two of the segments hold at most one each (if two held two or more, the total would be four). If segments x and y
-differ in at most one bit, the codeword next to y is among those next to x or to x with one bit flipped (1 or about 6 codewords). So each
-distinct fingerprint is posted under three keys (a pair of segments, both decoded: 24 bits) and asks under the keys of all near codewords
-of each pair, about 84; every link meets under a key, and is verified on all 64 bits. Neither step has a cap.
+Candidates come from the perfect binary Golay code (23, 12, 7). The fingerprint is cut in three segments of 22, 21 and 21 bits. A segment's
+codewords are those next to it or to it with one bit flipped (about 5 of 12 bits each); if two segments differ in at most one bit, the codeword
+next to either is among the other's. Three differing bits lie in one of two ways:
+- no segment holds more than one. Then one fingerprint's codewords of segments 1 and the own codewords of 2 and 3 (under which it is posted)
+  meet the other's own codeword of 1 and codewords of 2 and 3 (under which it asks): 36 bits.
+- one segment holds two or three. Then of the other two one is equal and the other differs in one bit at most: the equal one's bits with the
+  other's codeword, for each of the six pairs, 33 or 34 bits.
+So each distinct fingerprint is posted under about 11 keys and asks under about 60; every link meets under a key, and is verified on all 64
+bits. Neither step has a cap, and fingerprints that are not near meet by chance once in some 2^29 pairs.
 
 Defined cases: null or blank text has no words, hence fingerprint zero, linked as any other. Null doc_ids keep their rows; they never name
 a component unless no document of it has an id (then component_id is null). Repeated rows stay repeated. Extra columns are ignored.
@@ -33,6 +37,7 @@ CUTS = ((0, 22), (22, 21), (43, 21))
 #: Bytes of postings that one task brings together, and pairs that it verifies at once.
 BUCKET_BYTES, PAIRS = 8 << 20, 1 << 21
 PIECE = 1 << 16
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -82,28 +87,41 @@ def decode(x: np.ndarray) -> np.ndarray:
     return (x ^ _ERROR[_HALVES[0][x & 0xFFF] ^ _HALVES[1][x >> 12]]) >> 11
 
 
-def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of fingerprints (uint64): the (n, 3) keys each is posted under; the keys it asks under, and whose they are (indices)."""
+def _product(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the codewords of several segments (flat, with each fingerprint's number of them): all combinations, 12 bits each, and whose they are."""
+    key, count = parts[0]
+    shift = 0
+    for value, n in parts[1:]:
+        shift += 12
+        total = count * n
+        who = np.repeat(np.arange(len(n)), total)
+        at = np.arange(len(who)) - np.repeat(np.cumsum(total) - total, total)
+        start, other = np.cumsum(count) - count, np.cumsum(n) - n
+        key = key[start[who] + at // n[who]] | value[other[who] + at % n[who]] << shift
+        count = total
+    return key, np.repeat(np.arange(len(count)), count)
+
+
+def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of fingerprints (uint64): the keys they are posted under and whose those are (indices); the keys they ask under and whose those are."""
     seg = [((fp >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in CUTS]
-    own = [decode(x) for x in seg]
-    near = []
+    one = np.ones(len(fp), np.int64)
+    own, near = [(decode(x), one) for x in seg], []
     for x, (_, w) in zip(seg, CUTS):
         all_ = np.sort(np.stack([decode(x)] + [decode(x ^ (1 << i)) for i in range(w)], axis=1), axis=1)
         fresh = np.ones(all_.shape, bool)
         fresh[:, 1:] = all_[:, 1:] != all_[:, :-1]
-        row, _ = np.nonzero(fresh)
-        near.append((all_[fresh], np.bincount(row, minlength=len(x))))
-    posted, asked, whose = [], [], []
-    for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        posted.append(own[i] << 12 | own[j] | k << 24)
-        (vi, ni), (vj, nj) = near[i], near[j]
-        si, sj = np.cumsum(ni) - ni, np.cumsum(nj) - nj
-        total = ni * nj
-        who = np.repeat(np.arange(len(fp)), total)
-        at = np.arange(len(who)) - np.repeat(np.cumsum(total) - total, total)
-        asked.append(vi[si[who] + at // nj[who]] << 12 | vj[sj[who] + at % nj[who]] | k << 24)
-        whose.append(who)
-    return np.stack(posted, axis=1), np.concatenate(asked), np.concatenate(whose)
+        near.append((all_[fresh], fresh.sum(axis=1)))
+    posted, asked = [_product(near[0], own[1], own[2])], [_product(own[0], near[1], near[2])]
+    tag = 0
+    for i, same in enumerate(seg):
+        for j in range(3):
+            if i != j:
+                tag += 1
+                for out, (code, who) in ((posted, _product(own[j])), (asked, _product(near[j]))):
+                    out.append((same[who] | code << 22 | tag << 36, who))
+    (pk, pw), (ak, aw) = ([np.concatenate(x) for x in zip(*side)] for side in (posted, asked))
+    return pk, pw, ak, aw
 
 
 def linked(posted: np.ndarray, of: np.ndarray, asked: np.ndarray, by: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
@@ -145,26 +163,29 @@ def links(distinct: DataFrame, n: int, most: int = MOST) -> DataFrame:
     """(a, b): spanning forests of the links between distinct fingerprints (column fp), by Golay keys."""
     if most > MOST:
         raise ValueError("three segments of a code that mends one bit each find links of up to 3 bits")
-    buckets = common.buckets(distinct.sparkSession, n * 90 * 16, BUCKET_BYTES)
+    buckets = common.buckets(distinct.sparkSession, n * 72 * 12, BUCKET_BYTES)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k in range(0, len(fp), 20_000):
                 own = fp[k : k + 20_000]
-                posted, asked, whose = keys(own)
+                posted, of, asked, by = keys(own)
                 parts = []
-                for key, val in ((posted.ravel(), np.repeat(own, 3)), (asked, own[whose])):
-                    at = (key * 0x9E3779B1 >> 12) % buckets
+                for key, val in ((posted, own[of]), (asked, own[by])):
+                    mixed = key.view(np.uint64) * _MIX
+                    mixed = (mixed ^ mixed >> np.uint64(32)) * _MIX
+                    at = ((mixed & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
                     order = np.argsort(at, kind="stable")
-                    parts.append((key[order].astype(np.int32), val[order], np.searchsorted(at[order], np.arange(buckets + 1))))
+                    parts.append(((mixed >> np.uint64(32)).astype(np.uint32)[order], val[order], np.searchsorted(at[order], np.arange(buckets + 1))))
                 (pk, pv, ps), (ak, av, as_) = parts
-                rows = [(i, pk[ps[i] : ps[i + 1]].tobytes(), pv[ps[i] : ps[i + 1]].tobytes(), ak[as_[i] : as_[i + 1]].tobytes(), av[as_[i] : as_[i + 1]].tobytes()) for i in range(buckets)]
+                used = np.nonzero((np.diff(ps) > 0) | (np.diff(as_) > 0))[0].tolist()
+                rows = [(i, pk[ps[i] : ps[i + 1]].tobytes(), pv[ps[i] : ps[i + 1]].tobytes(), ak[as_[i] : as_[i + 1]].tobytes(), av[as_[i] : as_[i + 1]].tobytes()) for i in used]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 5)], ["bucket", "pk", "pv", "ak", "av"])
 
     def meet(t: pa.Table) -> pa.Table:
         col = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
-        a, b = linked(col("pk", np.int32), col("pv", np.uint64), col("ak", np.int32), col("av", np.uint64), most)
+        a, b = linked(col("pk", np.uint32), col("pv", np.uint64), col("ak", np.uint32), col("av", np.uint64), most)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     posts = distinct.select("fp").mapInArrow(post, "bucket int, pk binary, pv binary, ak binary, av binary")

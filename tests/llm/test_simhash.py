@@ -49,14 +49,33 @@ def test_no_link_is_lost():
         flip = np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in base], object)
         fps.append(np.array([int(a) ^ int(f) for a, f in zip(base, flip)], dtype=np.uint64))
     fps = np.unique(np.concatenate(fps))
-    p, a, w = S.keys(fps)
-    got = S.linked(p.ravel(), np.repeat(fps, 3), a, fps[w])
+    p, of, a, by = S.keys(fps)
+    got = S.linked(p, fps[of], a, fps[by])
     d = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
     i, j = np.nonzero(np.triu(d, 1))
     want = forest(fps[i], fps[j])
     assert sorted(zip(*map(list, got))) == sorted(zip(*map(list, want)))
 
 
+def test_all_ways_that_three_bits_lie():
+    """From each of some fingerprints to all others within three bits, whatever segments hold the bits."""
+    from itertools import combinations
+
+    for base in np.random.default_rng(4).integers(0, 1 << 63, 2, dtype=np.uint64).tolist():
+        near = np.array([base ^ sum(1 << b for b in bits) for k in (1, 2, 3) for bits in combinations(range(64), k)], np.uint64)
+        p, of, _, _ = S.keys(near)
+        _, _, a, _ = S.keys(np.array([base], np.uint64))
+        assert len(np.unique(of[np.isin(p, a)])) == len(near)
+
+
+def test_few_meet_by_chance():
+    fps = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    p, of, a, by = S.keys(fps)
+    p.sort()
+    met = np.searchsorted(p, a, "right") - np.searchsorted(p, a, "left")
+    assert (len(p) + len(a)) / len(fps) < 75 and met.sum() - 7 * len(fps) < 20
+
+
 def test_query_against_brute_force(spark):
     rng = np.random.default_rng(3)
     vocab = [f"w{i}" for i in range(300)]
