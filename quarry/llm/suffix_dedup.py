@@ -1,8 +1,10 @@
 """Exact substring dedup: bytes covered by a LENGTH-byte string that also starts in a document of smaller doc_id are removed.
 
 1. Anchors. Of the 32 hashed 19-grams in a window of 50 bytes, the least is its anchor (the first, if several are). Equal windows have
-   equal anchors at equal places, so a window can only repeat where its anchor does. Anchors' hashes are dealt to buckets and those that
-   occur in two documents are told back to the documents, in groups of documents dealt by a hash.
+   equal anchors at equal places, so a window can only repeat where its anchor does. Documents are dealt to groups by a hash. A batch of documents
+   settles itself which anchors two of its documents hold, tells their groups, and sends only the anchor on; the other anchors go with their
+   document's id. A bucket of anchors tells the groups which of these occur in two documents of different ids. So an anchor that very many
+   documents hold costs its bucket an entry a batch.
 2. Contexts. The windows of one anchor are consecutive; the bytes they span are a context. Each group of documents sends its distinct
    contexts of repeated anchors, with the least doc_id of each. A passage that very many documents hold is sent once a group.
 3. Repeats. A bucket of anchors has every context of its anchors. An anchor with one distinct context is settled: all its windows first
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -312,74 +315,88 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row; with_kept: also kept (binary), starts and ends (of what is removed)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, many = buckets(spark, size, GROUP_BYTES), buckets(spark, size, BUCKET_BYTES)
-    rows = rows.withColumn("d", F.pmod(F.col("rid"), F.lit(groups)).cast("int"))
+    rows = rows.withColumn("d", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     tail = ["kept", "starts", "ends"] * with_kept
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1, most=DEALT):
-            rid, all_, count = b.column(0).to_pylist(), [], []
-            for t in b.column(1).to_pylist():
+        """Rows of three kinds: b < 0 codes of repeated anchors for group d; else anchors for bucket b, with documents or (id null) known to repeat."""
+        for b in pieces(batches, "text", most=DEALT):
+            ids = b.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False)
+            d = b.column("d").to_numpy(zero_copy_only=False).astype(np.int32)
+            all_, count = [np.zeros(0, np.uint64)], []
+            for t in b.column("text").to_pylist():
                 raw = t.encode("utf-8", "surrogatepass")
-                got = np.unique(codes(_changes(anchors(raw)[1]), many)) if len(raw) >= LENGTH else np.zeros(0, np.uint64)
+                got = np.unique(codes(_changes(anchors(raw)[1]), many)) if len(raw) >= LENGTH else all_[0]
                 all_.append(got), count.append(len(got))
-            code = np.concatenate(all_) if all_ else np.zeros(0, np.uint64)
-            who = np.repeat(np.array(rid, np.int64), count)
-            out = []
-            for k, c, r in _blobs((code >> np.uint64(32)).astype(np.int64), [code.astype(np.uint32), who]):
+            code, who = np.concatenate(all_), np.repeat(np.arange(len(ids)), count)
+            if not len(code):
+                continue
+            order = np.argsort(code, kind="stable")
+            sorted_ = code[order]
+            start = np.nonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))[0]
+            repeats = np.minimum.reduceat(ids[who[order]], start) != np.maximum.reduceat(ids[who[order]], start)
+            twice = np.zeros(len(code), bool)
+            twice[order] = np.repeat(repeats, np.diff(start, append=len(code)))
+            known = sorted_[start][repeats]
+            out = [(k, c, None, None, None) for k, c in _blobs((known >> np.uint64(32)).astype(np.int64), [known.astype(np.uint32)])]
+            for k, c, r in _blobs((code[~twice] >> np.uint64(32)).astype(np.int64), [code[~twice].astype(np.uint32), who[~twice]]):
                 r = np.frombuffer(r, np.int64)
                 edge = np.nonzero(np.concatenate([[True], r[1:] != r[:-1]]))[0]
-                out.append((k, c, r[edge].tobytes(), np.diff(edge, append=len(r)).astype(np.uint32).tobytes()))
-            yield _batch(out, ["b", "h", "rid", "n"])
+                out.append((k, c, ids[r[edge]].tobytes(), d[r[edge]].tobytes(), np.diff(edge, append=len(r)).astype(np.uint32).tobytes()))
+            for k, c in _blobs(d[who[twice]], [code[twice]]):
+                out.append((-1 - k % many, np.unique(np.frombuffer(c, np.uint64)).tobytes(), None, np.int32(k).tobytes(), None))
+            yield _batch(out, ["b", "h", "id", "d", "n"])
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A batch's documents of each group in one row, compressed before they are dealt out."""
         for b in pieces(batches, "text", most=DEALT):
             doc, raw = b.column("doc_id"), [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-            cols = [doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), b.column("rid").to_numpy(zero_copy_only=False), np.array(list(map(len, raw)), np.int64), np.arange(len(raw))]
+            cols = [doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), np.array(list(map(len, raw)), np.int64), np.arange(len(raw))]
             out = []
             for d, *mine, which in _blobs(b.column("d").to_numpy(zero_copy_only=False), cols):
                 out.append((d, *mine, _packed(b"".join([raw[i] for i in np.frombuffer(which, np.int64).tolist()]))))
-            yield _batch(out, ["d", "ids", "none", "rids", "sizes", "x"])
+            yield _batch(out, ["d", "ids", "none", "sizes", "x"])
 
-    def unbundled(t: pa.Table) -> Iterator[tuple[int | None, int, bytes]]:
-        """Id, row id and bytes of each document."""
-        for ids, none, rids, sizes, x in zip(*(t.column(c).to_pylist() for c in ("ids", "none", "rids", "sizes", "x"))):
+    def unbundled(t: pa.Table) -> Iterator[tuple[int | None, bytes]]:
+        """Id and bytes of each document."""
+        for ids, none, sizes, x in zip(*(t.column(c).to_pylist() for c in ("ids", "none", "sizes", "x"))):
             x, at = zstandard.ZstdDecompressor().decompress(x), 0
-            for i, missing, r, n in zip(*(np.frombuffer(c, k).tolist() for c, k in ((ids, np.int64), (none, bool), (rids, np.int64), (sizes, np.int64)))):
-                yield None if missing else i, r, x[at : at + n]
+            for i, missing, n in zip(*(np.frombuffer(c, k).tolist() for c, k in ((ids, np.int64), (none, bool), (sizes, np.int64)))):
+                yield None if missing else i, x[at : at + n]
                 at += n
 
     def shared(t: pa.Table) -> pa.Table:
         k = t.column("b")[0].as_py()
-        h, rid = _from(t, "h", np.uint32), np.repeat(_from(t, "rid", np.int64), _from(t, "n", np.uint32))
-        order = np.lexsort((rid, h))
-        h, rid = h[order], rid[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        start = np.nonzero(new)[0]
-        # sorted by document within a hash: two documents if the first isn't the last
+        if k < 0:
+            told: dict[bytes, list[bytes]] = {}
+            for d, c in zip(t.column("d").to_pylist(), t.column("h").to_pylist()):
+                told.setdefault(d, []).append(c)
+            out = [(int(np.frombuffer(d, np.int32)[0]), np.unique(np.frombuffer(b"".join(c), np.uint64)).tobytes()) for d, c in told.items()]
+            return pa.Table.from_batches([_batch(out, ["d", "h"])])
+        none = t.column("id").is_null()
+        known, t = _from(t.filter(none), "h", np.uint32), t.filter(pc.invert(none))
+        n = _from(t, "n", np.uint32)
+        h, ids, d = _from(t, "h", np.uint32), np.repeat(_from(t, "id", np.int64), n), np.repeat(_from(t, "d", np.int32), n)
+        if not len(h):
+            return pa.Table.from_batches([_batch([], ["d", "h"])])
+        order = np.lexsort((ids, h))
+        h, ids, d = h[order], ids[order], d[order]
+        start = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
+        # sorted by id within a hash: two documents if the first isn't the last
         ends = np.append(start[1:], len(h)) - 1
-        twice = np.repeat(rid[start] != rid[ends], ends - start + 1)
-        h, rid = h[twice], rid[twice]
-        order = np.argsort(rid, kind="stable")
-        out = []
-        for d, hs, rs in _blobs(rid[order] % groups, [h[order], rid[order]]):
-            r = np.frombuffer(rs, np.int64)
-            edge = np.nonzero(np.concatenate([[True], r[1:] != r[:-1]]))[0]
-            out.append((d, hs, r[edge].tobytes(), np.diff(edge, append=len(r)).astype(np.uint32).tobytes(), k))
-        return pa.Table.from_batches([_batch([r[:4] for r in out], ["d", "h", "rid", "n"])]).append_column("b", pa.array([r[4] for r in out], pa.int64()))
+        twice = np.repeat((ids[start] != ids[ends]) | np.isin(h[start], known), ends - start + 1)
+        code = np.uint64(k) << np.uint64(32) | h[twice].astype(np.uint64)
+        return pa.Table.from_batches([_batch([(g, np.unique(np.frombuffer(c, np.uint64)).tobytes()) for g, c in _blobs(d[twice], [code])], ["d", "h"])])
 
     def cut(a: pa.Table, b: pa.Table) -> pa.Table:
         """Rows of three kinds: 0 a document that keeps everything; 1 those of a group with repeated anchors; 2 contexts for a bucket.
 
         A group numbers its distinct contexts; its documents and its rows for buckets refer to them by number.
         """
-        rid, h = np.repeat(_from(b, "rid", np.int64), _from(b, "n", np.uint32)), _from(b, "h", np.uint32)
-        code = np.repeat(np.array(b.column("b").to_pylist(), np.uint64), [len(x) // 4 for x in b.column("h").to_pylist()]) << np.uint64(32) | h.astype(np.uint64)
-        order = np.argsort(rid, kind="stable")
-        rid, code = rid[order], code[order]
+        code = np.unique(_from(b, "h", np.uint64))
         out: list[tuple] = []
         found: dict[bytes, int] = {}
         owner, bucket = [], []
@@ -394,14 +411,13 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
             held.clear()
 
         pending = 0
-        for doc, r, raw in unbundled(a):
-            mine = code[np.searchsorted(rid, r, "left") : np.searchsorted(rid, r, "right")]
+        for doc, raw in unbundled(a):
             lo = np.zeros(0, np.int64)
-            if len(mine):
+            if len(code) and len(raw) >= LENGTH:
                 h, least = anchors(raw)
                 lo, hi, at = contexts(h, least)
                 got = codes(h[at], many)
-                ok = np.isin(got, mine)
+                ok = code[np.minimum(np.searchsorted(code, got), len(code) - 1)] == got
                 lo, hi, at, got = lo[ok], hi[ok], at[ok], got[ok]
             if not len(lo):
                 out.append((0, 0, doc, len(raw), hashlib.sha256(raw).hexdigest(), raw if with_kept else None, None, None, None, None))
@@ -505,10 +521,10 @@ def spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         cols = list(zip(*out)) or [()] * len(kinds)
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *tail])
 
-    posts = rows.select("rid", "text").mapInArrow(post, "b int, h binary, rid binary, n binary")
-    told = scratch.cut(posts.groupBy("b").applyInArrow(shared, "d int, h binary, rid binary, n binary, b long"), "shared")
+    posts = rows.mapInArrow(post, "b int, h binary, id binary, d binary, n binary")
+    told = scratch.cut(posts.groupBy("b").applyInArrow(shared, "d int, h binary"), "shared")
     schema = "kind int, k int, id long, n long, sha string, x binary, y binary, z binary, w binary, v binary"
-    texts = rows.mapInArrow(bundle, "d int, ids binary, none binary, rids binary, sizes binary, x binary")
+    texts = rows.mapInArrow(bundle, "d int, ids binary, none binary, sizes binary, x binary")
     mid = scratch.cut(texts.groupBy("d").cogroup(told.groupBy("d")).applyInArrow(cut, schema), "contexts", "kind")
     scratch.drop("shared")
     first = scratch.cut(mid.filter("kind = 2").groupBy("k").applyInArrow(settle, "d int, key binary, first binary, n binary"), "first")

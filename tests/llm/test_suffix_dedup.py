@@ -110,3 +110,16 @@ def test_kept_bytes_and_empty(spark):
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed
         assert sum(e - s for s, e in zip(r.starts, r.ends)) == r.n_removed and len(r.starts) == r.n_spans
     assert S.query(df.filter("false")).count() == 0
+
+
+def test_an_anchor_of_all_is_sent_once_a_batch(spark):
+    """A passage of all documents, ids that repeat among them: by batches of one document, of few, and of all."""
+    rng = random.Random(11)
+    passage = "".join(rng.choices("abcdefghijkl ", k=90))
+    rows = [(i // 2, "".join(rng.choices("abcdefghij ", k=rng.randint(0, 40))) + passage) for i in range(80)] + [(900, passage * 2 + "end"), (None, passage)]
+    want = sorted(brute(rows), key=str)
+    for parts in (82, 5, 1):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted((tuple(r) for r in S.query(df).collect()), key=str) == want
+    same = [(7, passage), (7, "x" + passage), (7, passage)]
+    assert all(r.n_removed == 0 for r in S.query(spark.createDataFrame(same, "doc_id long, text string")).collect())
