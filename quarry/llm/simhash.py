@@ -11,7 +11,7 @@ next to either is among the other's. Three differing bits lie in one of two ways
 - one segment holds two or three. Then of the other two one is equal and the other differs in one bit at most: the equal one's bits with the
   other's codeword, for each of the six pairs, 33 or 34 bits.
 So each distinct fingerprint is posted under about 11 keys and asks under about 60; every link meets under a key, and is verified on all 64
-bits. Neither step has a cap, and fingerprints that are not near meet by chance once in some 2^28 pairs.
+bits. Neither step has a cap, and fingerprints that are not near meet by chance once in some 2^25 pairs (counted on random ones).
 
 Defined cases: null or blank text has no words, hence fingerprint zero, linked as any other. Null doc_ids keep their rows; they never name
 a component unless no document of it has an id (then component_id is null). Repeated rows stay repeated. Extra columns are ignored.
