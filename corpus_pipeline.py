@@ -40,6 +40,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more).
 
+    Candidates come by SimHash and Golay keys and are verified by their shingles; an exact check follows for groups that these left apart.
     Texts without words (null, empty, blank) are one group. Ids that tie (repeated or null) are told apart by text hash, then by the other
     columns. Very long texts are compared whole.
     """

@@ -1,14 +1,18 @@
-"""Near copies by word shingles: all pairs of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies by SimHash and word shingles: the groups of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-The join is exact, by prefix filtering: in any one order of all shingles, two sets that similar share one among the first n - ceil(0.8 n) + 1
+Candidates come by SimHash and Golay keys: a set has two fingerprints of 64 bits, of its hashes and of these mixed, and meets the nearest sets
+up to simhash.WIDE bits off that share codewords with it (simhash.nearest). Each candidate is verified by its shingles.
+
+Similar sets may have fingerprints that lie further apart, and a set meets only its nearest, so an exact check follows for what is in
+different groups by then. It is a join by prefix filtering: in any one order of all shingles, two sets that similar share one among the first n - ceil(0.8 n) + 1
 of each (n shingles). The order is by hash, but shingles that are frequent in a bounded sample come last, the rarest first; the sample
 decides what is compared, never what is found. Sets are posted under the shingles of their prefixes, dealt to buckets by hash; sets that meet
 and whose sizes allow 0.8 are compared: first by the parities of their hashes' low bits, of which no more can differ than the sets have
 shingles apart (so no link is lost), and what passes in full.
 
-Steps: documents of equal sets are one class; classes are posted; pairs that met are joined to their parities, and those left to their sets, and
-verified; components follow. A group of near copies shares shingles, and all its pairs would be the square of its size; so each set first
-meets a few others for each of its shingles, and only sets that are in different groups by then meet in full. What is in one group
+Steps: documents of equal sets are one class; classes meet; pairs that met are joined to their parities, and those left to their sets, and
+verified; components follow. This is done in three turns: by Golay keys; by shingles, each set with a few others for each of its shingles;
+and all sets with a shingle in common that are in different groups by then, since all pairs of a group would be the square of its size. What is in one group
 already needs no link, so none is lost that would change a group.
 Sets hold 64-bit hashes (XXH64, seed 42), and classes are told apart by a 64-bit hash of the set.
 
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm import common
+from quarry.llm import common, simhash
 from quarry.llm.common import Scratch, components, pieces
 
 SHINGLE = 5
@@ -106,6 +110,16 @@ def frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 FITS = f"{OVER + UNDER} * least(a_left, b_left) >= {OVER} * (a_n + b_n) and {OVER + UNDER} * (bit_count(a_p ^ b_p) + bit_count(a_q ^ b_q)) <= {UNDER - OVER} * (a_n + b_n)"
 
 
+def golay(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): sets (classes: key, n, f, g) whose fingerprints are equal or near, by SimHash and Golay keys; each with a few, of equal ones with the first."""
+    prints = classes.filter("n > 0").select("key", F.posexplode(F.array("f", "g")).alias("kind", "fp"))
+    heads = scratch.cut(prints.groupBy("kind", "fp").agg(F.min("key").alias("one")), "heads")
+    end = lambda c: heads.select("kind", F.col("fp").alias(c), F.col("one").alias(f"{c}_one"))
+    near = simhash.nearest(heads, heads.count()).join(end("a"), ["kind", "a"]).join(end("b"), ["kind", "b"]).select("a_one", "b_one")
+    met = near.unionByName(prints.join(heads, ["kind", "fp"]).select(F.col("key").alias("a_one"), F.col("one").alias("b_one"))).filter("a_one <> b_one")
+    return met.select(F.least("a_one", "b_one").alias("a"), F.greatest("a_one", "b_one").alias("b")).distinct()
+
+
 def stars(posts: DataFrame) -> DataFrame:
     """(a, b): of each shingle (posts: s, key) a few sets, each with all the others. FEW are the least by hashes that are the same for all shingles,
     so copies mostly meet the same ones; where more than LARGE sets have the shingle, one in EACH shingles adds as many by hashes of its own,
@@ -143,10 +157,11 @@ def labelled(docs: DataFrame) -> DataFrame:
             pre = pa.array([prefix(s, *order).view(np.int64) for s in sets], pa.list_(pa.int64()))
             par = pa.array([parities(s) for s in sets], pa.binary())
             p, q = np.array([marks(s) for s in sets], np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), pa.array([len(s) for s in sets], pa.int32()), pre, par, pa.array(p), pa.array(q)], ["doc_id", "h", "key", "n", "prefix", "odd", "p", "q"])
+            f, g = (pa.array(np.array([simhash.of_hashes(s) for s in side], np.uint64).view(np.int64)) for side in (sets, map(simhash.mixed, sets)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), pa.array([len(s) for s in sets], pa.int32()), pre, par, pa.array(p), pa.array(q), f, g], ["doc_id", "h", "key", "n", "prefix", "odd", "p", "q", "f", "g"])
 
-    found = scratch.cut(rows.mapInArrow(run, "doc_id long, h long, key long, n int, prefix array<long>, odd binary, p long, q long"), "found")
-    classes = scratch.cut(found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "odd", "p", "q")], F.min("h").alias("h")), "classes")
+    found = scratch.cut(rows.mapInArrow(run, "doc_id long, h long, key long, n int, prefix array<long>, odd binary, p long, q long, f long, g long"), "found")
+    classes = scratch.cut(found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "odd", "p", "q", "f", "g")], F.min("h").alias("h")), "classes")
     posts = classes.select("key", "n", "p", "q", F.posexplode("prefix").alias("at", "s")).select("s", "key", "n", (F.col("n") - F.col("at")).alias("left"), "p", "q")
     # most shingles are one set's own; written, so that the join may split what is frequent
     often = scratch.cut(posts.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s"), "often")
@@ -169,11 +184,14 @@ def labelled(docs: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     links, root = None, None
-    for turn in range(2):
-        label = F.coalesce("root", "key").alias("root") if root is not None else F.col("key").alias("root")
-        grouped = lambda t, *cols: (t if root is None else t.join(root.withColumnRenamed("u", "key"), "key", "left")).select(*cols, label)  # noqa: B023, E731
-        own = grouped(posts, "s", "key", "n", "left", "p", "q")
-        met = rest(own) if turn else stars(posts)
+    for turn in range(3):
+        if turn == 0:
+            met = golay(classes, scratch)
+        elif turn == 1:
+            met = stars(posts)
+        else:
+            own = posts.join(root.withColumnRenamed("u", "key"), "key", "left")
+            met = rest(own.select("s", "key", "n", "left", "p", "q", F.coalesce("root", "key").alias("root")))
         if root is not None:
             end = lambda c: root.select(F.col("u").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
             met = met.join(end("a"), "a", "left").join(end("b"), "b", "left").filter("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
@@ -187,7 +205,7 @@ def labelled(docs: DataFrame) -> DataFrame:
         scratch.drop(f"pairs{turn}", f"needed{turn}", f"sets{turn}")
         links = new if links is None else links.unionByName(new)
         root = components(links, scratch, f"cc{turn}_")
-    scratch.drop("posts", "classes", "links0", "links1")
+    scratch.drop("posts", "classes", "heads", "links0", "links1", "links2")
     return found.select("doc_id", "h", "key").join(root, F.col("key") == F.col("u"), "left").select("doc_id", "h", F.coalesce("root", "key").alias("root"))
 
 

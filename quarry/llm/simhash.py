@@ -15,6 +15,10 @@ bits. Neither step has a cap, and fingerprints that are not near meet by chance
 
 Defined cases: null or blank text has no words, hence fingerprint zero, linked as any other. Null doc_ids keep their rows; they never name
 a component unless no document of it has an id (then component_id is null). Repeated rows stay repeated. Extra columns are ignored.
+
+``nearest`` looks further, for near copies that are verified by their shingles: fingerprints meet where two segments share a codeword each,
+both theirs or those next to them. Segments with at most two differing bits surely do, so two fingerprints of up to 5 differing bits surely
+meet and most of up to WIDE; it finds the nearest of those met, not all.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ CUTS = ((0, 22), (22, 21), (43, 21))
 #: Bytes of postings that one task brings together, and pairs that it verifies at once.
 BUCKET_BYTES, PAIRS = 8 << 20, 1 << 21
 PIECE = 1 << 16
+#: Of the wider search: differing bits, and how many others a fingerprint meets on either side under one key.
+WIDE, CROWD = 12, 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,6 +63,20 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of hashes (uint64); zero of none."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), PIECE):
+        ones += np.unpackbits(h[k : k + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Other hashes of hashes (uint64)."""
+    x = x * _MIX
+    return (x ^ x >> np.uint64(32)) * _MIX
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Remainders of x^i by the generator, for 23 bits; and by remainder the error of least weight."""
     rest = []
@@ -102,16 +122,23 @@ def _product(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndar
     return key, np.repeat(np.arange(len(count)), count)
 
 
+def _segments(fp: np.ndarray) -> list[np.ndarray]:
+    return [((fp >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in CUTS]
+
+
+def _near(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codewords next to segments of w bits or to them with one bit flipped: flat, with each segment's number of them."""
+    all_ = np.sort(np.stack([decode(x)] + [decode(x ^ (1 << i)) for i in range(w)], axis=1), axis=1)
+    fresh = np.ones(all_.shape, bool)
+    fresh[:, 1:] = all_[:, 1:] != all_[:, :-1]
+    return all_[fresh], fresh.sum(axis=1)
+
+
 def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of fingerprints (uint64): the keys they are posted under and whose those are (indices); the keys they ask under and whose those are."""
-    seg = [((fp >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in CUTS]
+    seg = _segments(fp)
     one = np.ones(len(fp), np.int64)
-    own, near = [(decode(x), one) for x in seg], []
-    for x, (_, w) in zip(seg, CUTS):
-        all_ = np.sort(np.stack([decode(x)] + [decode(x ^ (1 << i)) for i in range(w)], axis=1), axis=1)
-        fresh = np.ones(all_.shape, bool)
-        fresh[:, 1:] = all_[:, 1:] != all_[:, :-1]
-        near.append((all_[fresh], fresh.sum(axis=1)))
+    own, near = [(decode(x), one) for x in seg], [_near(x, w) for x, (_, w) in zip(seg, CUTS)]
     posted, asked = [_product(near[0], own[1], own[2])], [_product(own[0], near[1], near[2])]
     tag = 0
     for i, same in enumerate(seg):
@@ -192,6 +219,77 @@ def links(distinct: DataFrame, n: int, most: int = MOST) -> DataFrame:
     return posts.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
+def wide_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of fingerprints (uint64): the keys that near ones share (two segments' codewords, and in bits 24 and 25 which two) and whose those are."""
+    near = [_near(x, w) for x, (_, w) in zip(_segments(fp), CUTS)]
+    out = [_product(near[i], near[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    return np.concatenate([k | tag << 24 for tag, (k, _) in enumerate(out)]), np.concatenate([w for _, w in out])
+
+
+def met(key: np.ndarray, fp: np.ndarray, most: int = WIDE, crowd: int = CROWD) -> tuple[np.ndarray, ...]:
+    """(what key >> 24 is, side, a, b, d): for each fingerprint a the nearest lesser (side 0) and greater (side 1) b, d bits off, of those with a key of its.
+
+    Under a key, each meets the next ``crowd`` of an order by hash that differs from key to key.
+    """
+    order = np.lexsort((mixed(fp ^ mixed(key.astype(np.uint64))), key))
+    key, fp = key[order], fp[order]
+    far = np.full((2, len(key)), most + 1, np.uint8)
+    best = np.zeros((2, len(key)), np.uint64)
+    at = np.arange(len(key))
+    for step in range(1, crowd + 1):
+        at = at[: np.searchsorted(at, len(key) - step)]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            break
+        d = np.bitwise_count(fp[at] ^ fp[at + step])
+        hit = d <= most
+        i, d = at[hit], d[hit]
+        for me, other in ((i, i + step), (i + step, i)):
+            side = (fp[other] > fp[me]).astype(np.int64)
+            less = d < far[side, me]
+            side, to, of = side[less], me[less], other[less]
+            far[side, to], best[side, to] = d[less], fp[of]
+    out = []
+    for side in range(2):
+        i = np.nonzero(far[side] <= most)[0]
+        t, a, b, d = key[i] >> 24, fp[i], best[side][i], far[side][i]
+        order = np.lexsort((b, d, a, t))
+        t, a, b, d = t[order], a[order], b[order], d[order]
+        first = np.ones(len(t), bool)
+        first[1:] = (t[1:] != t[:-1]) | (a[1:] != a[:-1])
+        out.append((t[first], np.full(first.sum(), side), a[first], b[first], d[first]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def nearest(distinct: DataFrame, n: int) -> DataFrame:
+    """(kind, a, b): of n distinct fingerprints (columns kind from 0, fp), each with the nearest of its kind up to WIDE bits off that it meets by
+    Golay keys: a lesser and a greater one for each two segments."""
+    buckets = common.buckets(distinct.sparkSession, n * 85 * 12, BUCKET_BYTES)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 20_000):
+                kind, own = (b.column(c).slice(k, 20_000).to_numpy(zero_copy_only=False) for c in range(2))
+                key, of = wide_keys(own.view(np.uint64))
+                key |= kind.astype(np.int64)[of] << 26
+                at = ((mixed(key.view(np.uint64)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                key, val, start = key.astype(np.uint32)[order], own[of][order], np.searchsorted(at[order], np.arange(buckets + 1))
+                used = np.nonzero(np.diff(start))[0].tolist()
+                cut = lambda x: pa.array([x[start[i] : start[i + 1]].tobytes() for i in used], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), cut(key), cut(val)], ["bucket", "k", "v"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        col = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
+        tag, side, a, b, d = met(col("k", np.uint32), col("v", np.uint64))
+        return pa.table({"t": tag.astype(np.int32), "side": side.astype(np.int32), "a": a.view(np.int64), "b": b.view(np.int64), "d": d.astype(np.int32)})
+
+    posts = distinct.select(F.col("kind").cast("int"), "fp").mapInArrow(post, "bucket int, k binary, v binary")
+    found = posts.groupBy("bucket").applyInArrow(meet, "t int, side int, a long, b long, d int")
+    least = found.groupBy("t", "side", "a").agg(F.min(F.struct("d", "b")).alias("m"))
+    return least.select(F.shiftright("t", 2).alias("kind"), F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+
+
 def _named(found: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     """(fp, least, root) of the distinct fingerprints of found (doc_id, fp): the smallest doc_id that has it, and its component."""
     classes = scratch.cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")

@@ -114,3 +114,44 @@ def test_one_row_of_a_component_stays(spark):
     df = spark.createDataFrame([(5, a, 1), (5, b, 1), (3, b, 1), (None, a, 1), (None, "alone", 1), (None, "alone", 1), (7, "twice", 2), (7, "twice", 1)], "doc_id long, text string, x int")
     got = sorted(((r.doc_id, r.text) for r in S.deduplicated(df).collect()), key=str)
     assert got == sorted([(5, a), (3, b), (None, "alone"), (7, "twice")], key=str)
+
+
+def test_wide_keys_meet_up_to_five_bits():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    k0, w0 = S.wide_keys(base)
+    assert len(k0) < 90 * len(base) and k0.max() < 1 << 26
+    for bits in (1, 2, 3, 4, 5):
+        near = np.array([int(a) ^ sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for a in base], np.uint64)
+        k1, w1 = S.wide_keys(near)
+        pairs = set(zip(k0.tolist(), w0.tolist()))
+        assert {w for k, w in zip(k1.tolist(), w1.tolist()) if (k, w) in pairs} == set(range(len(base)))
+
+
+def test_met_are_the_nearest():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base] + [base ^ np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in base], np.uint64) for k in (2, 6, 9)]))
+    key, of = S.wide_keys(fps)
+    held = {}
+    for k, w in zip(key.tolist(), of.tolist()):
+        held.setdefault(k, []).append(int(fps[w]))
+    want = {}
+    for k, group in held.items():
+        for a in group:
+            for b in group:
+                if a != b and (a ^ b).bit_count() <= S.WIDE:
+                    at = (k >> 24, int(b > a), a)
+                    want[at] = min(want.get(at, (99, 0)), ((a ^ b).bit_count(), b))
+    t, side, a, b, d = S.met(key.astype(np.uint32), fps[of])
+    got = {(int(x), int(s), int(i)): (int(n), int(j)) for x, s, i, j, n in zip(t, side, a, b, d)}
+    assert len(got) > 300 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all((i ^ j).bit_count() == n for (_, _, i), (n, j) in got.items())
+
+
+def test_fingerprints_of_hashes():
+    import xxhash
+
+    words = [f"w{i}".encode() for i in range(70_000)]
+    h = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)], np.uint64)
+    assert S.of_hashes(h) == S.fingerprint(b" ".join(words).decode()) and S.of_hashes(h[:0]) == 0
