@@ -18,7 +18,9 @@ a component unless no document of it has an id (then component_id is null). Repe
 
 ``nearest`` looks further, for near copies that are verified by their shingles: fingerprints meet where two segments share a codeword each,
 both theirs or those next to them. Segments with at most two differing bits surely do, so two fingerprints of up to 5 differing bits surely
-meet and most of up to WIDE; it finds the nearest of those met, not all.
+meet and most of up to WIDE; it finds the nearest of those met, not all. Keys are dealt to buckets by their second codeword alone, of which
+a segment has at most six: a bucket gives two rows at most for a fingerprint and two segments, so that a fingerprint has no more than 36 in
+all, however many others it meets and however many buckets there are.
 """
 
 from __future__ import annotations
@@ -261,6 +263,11 @@ def met(key: np.ndarray, fp: np.ndarray, most: int = WIDE, crowd: int = CROWD) -
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def dealt(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key: one for all of a kind, two segments and the second's codeword, as their fingerprints are much the same."""
+    return ((mixed((key >> 12).view(np.uint64)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
 def nearest(distinct: DataFrame, n: int) -> DataFrame:
     """(kind, a, b): of n distinct fingerprints (columns kind from 0, fp), each with the nearest of its kind up to WIDE bits off that it meets by
     Golay keys: a lesser and a greater one for each two segments."""
@@ -272,7 +279,7 @@ def nearest(distinct: DataFrame, n: int) -> DataFrame:
                 kind, own = (b.column(c).slice(k, 20_000).to_numpy(zero_copy_only=False) for c in range(2))
                 key, of = wide_keys(own.view(np.uint64))
                 key |= kind.astype(np.int64)[of] << 26
-                at = ((mixed(key.view(np.uint64)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                at = dealt(key, buckets)
                 order = np.argsort(at, kind="stable")
                 key, val, start = key.astype(np.uint32)[order], own[of][order], np.searchsorted(at[order], np.arange(buckets + 1))
                 used = np.nonzero(np.diff(start))[0].tolist()

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 
 from quarry.llm import simhash as S
 from quarry.llm.common import forest
@@ -155,3 +156,18 @@ def test_fingerprints_of_hashes():
     words = [f"w{i}".encode() for i in range(70_000)]
     h = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)], np.uint64)
     assert S.of_hashes(h) == S.fingerprint(b" ".join(words).decode()) and S.of_hashes(h[:0]) == 0
+
+
+def test_rows_of_meeting_grow_with_the_group(spark, monkeypatch):
+    made, run = [], GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda *a: made.append(run(*a)) or made[-1])
+    rng = np.random.default_rng(8)
+    near = np.unique(np.uint64(0x1234_5678_9ABC_DEF0) ^ (np.uint64(1) << rng.integers(0, 64, (4, 1600), dtype=np.uint64)).sum(axis=0, dtype=np.uint64))
+    found, rows = [], []
+    for m, per in ((300, 8 << 20), (300, 1 << 10), (1200, 1 << 10)):  # the same with few buckets and with many
+        monkeypatch.setattr(S, "BUCKET_BYTES", per)
+        df = spark.createDataFrame([(0, int(x)) for x in near[:: len(near) // m][:m].view(np.int64)], "kind int, fp long")
+        found.append(sorted(map(tuple, S.nearest(df, 200 * m).collect())))
+        rows.append(made[-1].count())
+    assert found[0] == found[1] and len(found[0]) >= 300
+    assert rows[1] <= 36 * 300 and rows[2] <= 36 * 1200 and rows[2] <= 4.4 * rows[1]
